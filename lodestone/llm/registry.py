@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, mixing, secrets
+from lodestone.llm import decontaminate, exact_dedup, langid, mixing, secrets, token_files, toxicity
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_language_id": langid.op8_language_id,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLE_SQL = {
