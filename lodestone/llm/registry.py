@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, exact_dedup, langid, mixing, secrets, token_files, toxicity
+from lodestone.llm import decontaminate, exact_dedup, langid, mixing, secrets, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_language_id": langid.op8_language_id,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_token_files": token_files.op10_token_files,
 }
 
