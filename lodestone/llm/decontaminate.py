@@ -31,7 +31,8 @@ EDIT_SHARE = 0.1
 BLOCK_CHARACTERS = 4_000_000
 TABLE_BITS = 22
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-SPACES = np.array([ord(c) for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"], np.uint32)
+#: White space, as ``str.split`` has it.
+SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
 
 def lowered(text: str) -> str:
@@ -43,21 +44,32 @@ def lowered(text: str) -> str:
 def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Code points with white space as single spaces, and each one's place in the text."""
     points = np.frombuffer(lowered(text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = points == 32
-    for s in SPACES:
-        if s != 32:
-            space |= points == s
+    space = np.isin(points, SPACES)
     keep = np.ones(len(points), bool)
     keep[1:] = ~(space[1:] & space[:-1])
     return np.where(space, np.uint32(32), points)[keep], np.flatnonzero(keep)
 
 
-def grams(points: np.ndarray) -> np.ndarray:
+def fold(points: np.ndarray) -> bytes:
+    return (points ^ (points >> np.uint32(7)) * np.uint32(37)).astype(np.uint8).tobytes()
+
+
+#: ``fold`` of the characters that Latin-1 has.
+FOLD_LATIN = fold(np.arange(256, dtype=np.uint32))
+
+
+def folded(text: str) -> bytes:
+    """The normalised text without outer spaces, a byte for each character."""
+    text = " ".join(lowered(text).split())
+    try:
+        return text.encode("latin-1").translate(FOLD_LATIN)
+    except UnicodeEncodeError:
+        return fold(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+
+
+def codes_of(raw: bytes) -> np.ndarray:
     """One number for each q-gram: its q characters, a byte each."""
-    if len(points) < Q:
-        return np.empty(0, np.uint64)
-    folded = (points ^ (points >> np.uint32(7)) * np.uint32(37)).astype(np.uint8)
-    return np.ndarray((len(folded) - Q + 1,), "<u8", folded.tobytes(), strides=(1,))
+    return np.ndarray((len(raw) - Q + 1,), "<u8", raw, strides=(1,)) if len(raw) >= Q else np.empty(0, np.uint64)
 
 
 def slot(g: np.ndarray) -> np.ndarray:
@@ -114,7 +126,7 @@ class Matcher:
                     self.short.append((item_id, points))
                 continue
             k = edit_budget(len(points), share)
-            codes.append(grams(points))
+            codes.append(codes_of(fold(points)))
             owner.append(np.full(len(codes[-1]), len(self.ids)))
             place.append(np.arange(len(codes[-1])))
             self.ids.append(item_id)
@@ -129,52 +141,65 @@ class Matcher:
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[slot(self.codes)] = True
         self.k, self.need = np.array(self.k, np.int64), np.array(self.need, np.int64)
-        self.reach = max((len(p) + k for p, k in zip(self.points, self.k)), default=0)
 
-    def __call__(self, text: str) -> list[tuple]:
-        """(item id, start, end, edits) of the best place of each item in the text; places in code points."""
+    def bands(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Items and numbers of the bands with enough shared q-grams: band b has the diagonals [b w, (b + 2) w), w = k + 1."""
+        code = codes_of(raw)
+        hit = np.flatnonzero(self.table[slot(code)]) if len(self.codes) else np.empty(0, np.int64)
+        found = code[hit]
+        lo = np.searchsorted(self.codes, found, "left")
+        n = np.searchsorted(self.codes, found, "right") - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item = self.owner[at]
+        half = np.floor_divide(np.repeat(hit, n) - self.place[at], self.k[item] + 1)
+        # Half bands are counted once and added to their neighbour; the gap keeps items apart.
+        keys, counts = np.unique((item << 40) + half + (1 << 32), return_counts=True)
+        both = np.concatenate([keys, keys - 1])
+        sums = np.concatenate([counts, np.zeros_like(counts)])
+        place = np.searchsorted(keys, both + 1)
+        place[place == len(keys)] = 0
+        if len(keys):
+            sums = sums + np.where(keys[place] == both + 1, counts[place], 0)
+        kept = np.unique(both[sums >= self.need[both >> 40]]) if len(keys) else both
+        return kept >> 40, (kept & ((1 << 40) - 1)) - (1 << 32)
+
+    def __call__(self, texts: list[str]) -> list[tuple]:
+        """(number of the text, item id, start, end, edits) of the best place of each item in each text; places in code points."""
+        parts = [folded(t) for t in texts]
+        starts = np.cumsum([0] + [len(p) + 1 for p in parts])
+        todo: dict[int, list] = {}
+        for item, band in zip(*(x.tolist() for x in self.bands(b"\n".join(parts)))):
+            own, k = self.points[item], int(self.k[item])
+            low, high = band * (k + 1) - k, (band + 2) * (k + 1) + len(own) + k
+            first = max(0, int(np.searchsorted(starts, max(low, 0), "right")) - 1)
+            while first < len(texts) and starts[first] < high:
+                todo.setdefault(first, []).append((item, low - int(starts[first]), high - int(starts[first])))
+                first += 1
+        for _, short in self.short:
+            want = fold(short)
+            for i, part in enumerate(parts):
+                if want in part:
+                    todo.setdefault(i, [])
+        return [(i, *x) for i in sorted(todo) for x in self._verify(texts[i], todo[i])]
+
+    def _verify(self, text: str, regions: list[tuple]) -> list[tuple]:
         points, place = normalised(text)
+        lead = int(len(points) > 0 and points[0] == 32)
         out = []
         for item_id, short in self.short:
             found = re.search(r"(?<!\w)" + re.escape("".join(map(chr, short))) + r"(?!\w)", "".join(map(chr, points)))
             if found:
                 out.append((item_id, int(place[found.start()]), int(place[found.end() - 1]) + 1, 0))
-        code = grams(points)
-        if not len(code) or not len(self.codes):
-            return out
-        hit = np.flatnonzero(self.table[slot(code)])
-        least = int(self.need.min())
-        # A region with enough shared q-grams has `least` hits within the longest item's reach.
-        if len(hit) < least:
-            return out
-        close = hit[least - 1 :] - hit[: len(hit) - least + 1] <= self.reach
-        if not close.any():
-            return out
-        edge = np.zeros(len(hit) + 1, np.int64)
-        np.add.at(edge, np.flatnonzero(close), 1)
-        np.add.at(edge, np.flatnonzero(close) + least, -1)
-        hit = hit[np.cumsum(edge[:-1]) > 0]
-        lo, hi = np.searchsorted(self.codes, code[hit], "left"), np.searchsorted(self.codes, code[hit], "right")
-        n = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, diagonal = self.owner[at], np.repeat(hit, n) - self.place[at]
-        width = self.k[item] + 1
-        band = np.floor_divide(diagonal, width)
-        # Band b covers the diagonals [b * width, (b + 2) * width): a hit counts in two.
-        keys = np.concatenate([np.stack([item, band], 1), np.stack([item, band - 1], 1)])
-        if not len(keys):
-            return out
-        bands, counts = np.unique(keys, axis=0, return_counts=True)
         best: dict[int, tuple] = {}
-        for (i, b), _ in zip(bands[counts >= self.need[bands[:, 0]]], range(1 << 62)):
-            own, k = self.points[i], int(self.k[i])
-            low = max(0, int(b) * (k + 1) - k)
-            region = points[low : (int(b) + 2) * (k + 1) + len(own) + k]
-            if i in best and (best[i][0] == 0 or best[i][1] <= low and low + len(region) <= best[i][2]):
+        for item, low, high in regions:
+            if item in best and best[item][0] == 0:
                 continue
+            own, k = self.points[item], int(self.k[item])
+            low = max(0, low + lead)
+            region = points[low : max(0, high + lead)]
             got = self._exact(own, region) or align(own, region, k)
-            if got and (i not in best or got[0] < best[i][0]):
-                best[int(i)] = (got[0], low + got[1], low + got[2])
+            if got and (item not in best or got[0] < best[item][0]):
+                best[item] = (got[0], low + got[1], low + got[2])
         return out + [(self.ids[i], int(place[s]), int(place[e - 1]) + 1, edits) for i, (edits, s, e) in sorted(best.items()) if e > s]
 
     @staticmethod
@@ -217,10 +242,9 @@ def find_contamination(
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, share)
-            for batch in slices(batches, "text"):
-                found = []
-                for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                    found += [(doc_id, *x) for x in matcher(text)]
+            for batch in slices(batches, "text", 2 << 20):
+                ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+                found = [(ids[i], *x) for i, *x in matcher(texts)]
                 if found:
                     cols = list(zip(*found))
                     yield pa.RecordBatch.from_arrays(

@@ -48,11 +48,11 @@ def test_edited_passages():
             else:
                 del chars[at]
         body = words(300) + " \n " + "".join(chars).upper() + "\t" + words(200)
-        found = {x[0]: x for x in match(body)}
+        found = {x[1]: x[1:] for x in match([words(50), body, words(40)])}
         assert i in found, (i, k)
         want = brute_edits(text, "".join(map(chr, normalised(body)[0])))
         assert found[i][3] == want <= k
-        assert not match(words(600))
+        assert not match([words(600), words(3)])
 
 
 def test_align_on_small_cases():
