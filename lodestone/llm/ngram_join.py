@@ -19,16 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.arrays import sum_arrays
 from lodestone.llm.components import components
 from lodestone.llm.words import HashCache, hashes_of, mix64, slices, words_of
 from lodestone.operators.staging import Stage
 
 CELLS = 1 << 20
-SLICES = 16
 BINS = 64
 PRIME = 2147483647
 BITMAP = 1 << 24
@@ -75,42 +74,18 @@ def key_of(doc_id: int | None, first: int) -> int:
 
 
 def frequency_sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """Counts of all documents' n-grams by cell; sums pass through two rounds, so no task holds more than a sketch."""
+    """Counts of all documents' n-grams by cell."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total, some = HashCache(), np.zeros(CELLS, np.uint32), False
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        cache, total = HashCache(), None
         for batch in slices(batches, "text"):
-            grams = [ngrams(t, n, cache) for t in batch.column("text").to_pylist()]
-            flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-            total += np.bincount((flat >> np.uint64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-            some = True
-        if some:
-            salt = TaskContext.get().partitionId() % 64
-            yield rows({i: part for i, part in enumerate(np.split(total.astype(np.uint64), SLICES))}, salt)
-
-    def rows(parts: dict[int, np.ndarray], salt: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(parts), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([p.tobytes() for p in parts.values()], pa.binary())],
-            names=["slice", "salt", "counts"],
-        )
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, raw in zip(batch.column("slice").to_pylist(), batch.column("counts")):
-                own = np.frombuffer(raw.as_buffer(), np.uint64)
-                parts[i] = parts[i] + own if i in parts else own.copy()
-        if parts:
-            yield rows(parts, 0)
+            flat = np.concatenate([ngrams(t, n, cache) for t in batch.column("text").to_pylist()])
+            own = np.bincount((flat >> np.uint64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+            total = own if total is None else total + own
+        return total
 
-    schema = "slice int, salt int, counts binary"
     text = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    summed = text.mapInArrow(count, schema).repartition("slice", "salt").mapInArrow(add, schema).repartition("slice").mapInArrow(add, schema)
-    out = np.zeros(CELLS, np.uint64)
-    width = CELLS // SLICES
-    for r in summed.collect():
-        out[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(bytes(r["counts"]), np.uint64)
-    return np.minimum(out, 2**32 - 1).astype(np.uint32)
+    return np.minimum(sum_arrays(text, count, CELLS), 2**32 - 1).astype(np.uint32)
 
 
 def similar_documents(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, exact_dedup, langid, mixing, ngram_join, secrets, substring_dedup, token_files, toxicity
+from lodestone.llm import decontaminate, exact_dedup, langid, lm_score, mixing, ngram_join, secrets, substring_dedup, token_files, toxicity
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_source_mixing": mixing.op4_source_mixing,
