@@ -1,6 +1,81 @@
-STAGES = []
+"""The corpus pipeline: documents to token files, in five stages.
+
+Each stage's result is written as Parquet in the cluster's shared folder and read again as the
+next stage's documents, so that a stage never depends on what executors hold.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.decontaminate import drop_contaminated
+from lodestone.llm.langid import UNKNOWN, fit, identify
+from lodestone.llm.mixing import mix_sources
+from lodestone.llm.ngram_join import similar_documents
+from lodestone.llm.token_files import token_files
+from lodestone.operators.staging import Stage
+
+#: Below this posterior a document's language counts as not identified.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; the model learns from the documents that have a language."""
+    columns = tuple(docs.columns)
+    found = identify(docs, fit(docs), keep=columns)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.8 or more of their 5-word shingles connect, the one with the smallest id.
+
+    Documents without words or id stay.
+    """
+    gone = similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, up to 3 times; what is left of a whole
+    time becomes one more with that chance, by a hash of the id. Documents without words go."""
+    mix = mix_sources(docs).groupBy("doc_id").agg(F.max("taken").alias("mix_taken"), F.max("size").alias("mix_size"))
+    share = F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    copies = mix.where("mix_taken > 0").select(
+        F.col("doc_id").alias("mix_id"), F.floor(F.col("mix_taken") / F.col("mix_size") + share).cast("int").alias("mix_copies")
+    )
+    joined = docs.join(copies.where("mix_copies > 0"), docs["doc_id"].eqNullSafe(F.col("mix_id")))
+    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids in Arrow files; one row per document as read back."""
+    return token_files(docs, Stage(spark, "token-files").path, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("token_output", token_output),
+]
+
+#: SQL cannot express the stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stage = Stage(spark, "pipeline")
+    for i, (_, function) in enumerate(STAGES):
+        docs = function(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stage.write(docs)
+    return docs
