@@ -211,6 +211,15 @@ class Matcher:
         return None if at < 0 else (0, at // 4, at // 4 + len(own))
 
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
+    """The items with text, about ``BLOCK_CHARACTERS`` at a time; one block at least."""
+    items = benchmark.where(F.length(F.col(text_col)) > 0).select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_CHARACTERS))
+    for b in range(blocks):
+        yield [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -228,16 +237,10 @@ def find_contamination(
     are matched each. Other columns are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.where(F.length(F.col(item_text_col)) > 0).select(
-        F.col(item_col).alias("item"), F.col(item_text_col).alias("text")
-    )
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_CHARACTERS))
     rows = docs.where(F.length(F.col(text_col)) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kinds = rows.schema["id"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
+    kinds = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     out = None
-    for b in range(blocks):
-        own = [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
+    for own in _blocks(benchmark, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(own)
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -261,6 +264,29 @@ def find_contamination(
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    share: float = EDIT_SHARE,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no item is found; null texts stay."""
+    spark = docs.sparkSession
+    for own in _blocks(benchmark, item_col, item_text_col):
+        shared = spark.sparkContext.broadcast(own)
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, share)
+            for batch in slices(batches, text_col, 2 << 20):
+                found = {i for i, *_ in matcher([t or "" for t in batch.column(text_col).to_pylist()])}
+                yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in found], pa.int64()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(
         spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")

@@ -3,7 +3,7 @@ import string
 
 import numpy as np
 
-from lodestone.llm.decontaminate import Matcher, align, edit_budget, find_contamination, normalised, op7_decontamination
+from lodestone.llm.decontaminate import Matcher, align, drop_contaminated, edit_budget, find_contamination, normalised, op7_decontamination
 
 
 def test_finds_all_exact_passages(spark, docs):
@@ -69,5 +69,7 @@ def test_odd_rows(spark, odd, empty):
     )
     got = sorted((r["doc_id"], r["item_id"]) for r in find_contamination(odd, bench).collect())
     assert got == [(6, 5), (6, 6), (10, 1), (11, 1)]
+    kept = drop_contaminated(odd, bench)
+    assert kept.schema == odd.schema and kept.count() == odd.count() - 3
     assert find_contamination(empty, bench).count() == 0
     assert find_contamination(odd, bench.limit(0)).count() == 0
