@@ -15,13 +15,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,11 +34,20 @@ from lodestone.operators.staging import Stage
 SEQUENCE = 1024
 BATCH_ROWS = 256
 
-#: The published pattern of byte-level BPE pre-tokenization (a fixed value).
-BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Outside these characters libraries could disagree on what is a letter or a space.
-PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ԯ]")
-CACHE_WORDS = 300_000
+#: Beyond these characters libraries can disagree on what is a letter, a number or a space.
+ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ԯ]")
+
+
+def _characters(kind: str) -> str:
+    """The characters of a general category up to the last that ``ODD`` leaves, for a character class."""
+    return "".join(re.escape(chr(c)) for c in range(0x530) if unicodedata.category(chr(c))[0] == kind)
+
+
+_L, _N, _S = _characters("L"), _characters("N"), r"\t\n\x0b\x0c\r \x85\xa0"
+#: The published pattern of byte-level BPE pre-tokenization for texts that ``ODD`` does not match, the commonest case first.
+BYTE_LEVEL = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Pieces in a cache, about 200 bytes each; a full cache is emptied.
+CACHE_PIECES = 500_000
 
 
 class Encoder:
@@ -60,37 +70,77 @@ class Encoder:
             and not pre.get("add_prefix_space")
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.pieces = regex.compile(BYTE_LEVEL).findall
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.after_space[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
+        self.line = vocabulary.get("\u010a")
         self.cache: dict[str, bytes] = {}
 
+    def _cut(self, pieces: list[str], ids: np.ndarray, heads: np.ndarray, skip: int) -> None:
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        ends = [*(heads * size).tolist(), len(raw) + skip * size]
+        if len(heads) != len(pieces):
+            raise ValueError("pieces and words differ")
+        stops = [x - skip * size for x in ends[1:]]
+        self.cache.update(zip(pieces, map(raw.__getitem__, map(slice, ends[:-1], stops))))
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.fromiter(got.ids, self.dtype, len(got))
+
+    def _learn(self, new: set[str]) -> None:
+        """Cache the ids of pieces. Words are encoded many to a text, where they stay pieces of their own: those after
+        a space end to end, as a token that starts with the space starts a word, others a line each."""
+        step = 2000
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        parts = [words[i : i + step] for i in range(0, len(words), step)]
+        for part, ids in zip(parts, self._encode(["".join(p) for p in parts])):
+            self._cut(part, ids, np.flatnonzero(self.after_space[ids]), 0)
+        lines = [p for p in new if p.isalpha()] if self.line is not None else []
+        parts = [lines[i : i + step] for i in range(0, len(lines), step)]
+        for part, ids in zip(parts, self._encode(["\n".join(p) for p in parts])):
+            self._cut(part, ids, np.append(0, np.flatnonzero(ids == self.line) + 1), 1)
+        rest = [p for p in new if p not in self.cache]
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            self.cache.update(zip(part, (ids.tobytes() for ids in self._encode(part))))
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split, new = [], {}
+        split, seen = [], set()
         for text in texts:
             text = text or ""
-            if not self.by_piece or PLAIN.search(text) or any(s in text for s in self.special):
+            if not self.by_piece or ODD.search(text) or any(s in text for s in self.special):
                 split.append(None)
                 continue
-            found = self.pieces(text)
+            found = BYTE_LEVEL.findall(text)
             split.append(found)
-            new.update(dict.fromkeys(p for p in found if p not in self.cache))
-        if len(self.cache) + len(new) > CACHE_WORDS:
+            seen.update(found)
+        new = seen - self.cache.keys()
+        if len(self.cache) + len(new) > CACHE_PIECES:
             self.cache.clear()
-            new = dict.fromkeys(p for found in split if found for p in found)
-        todo = list(new)
-        for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[piece] = np.array(got.ids, self.dtype).tobytes()
+            new = seen
+        self._learn(new)
         out = []
         for text, found in zip(texts, split):
             if found is None:
                 out.append(np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, self.dtype))
             else:
-                out.append(np.frombuffer(b"".join(map(self.cache.__getitem__, found)), self.dtype))
+                ids = itemgetter(*found)(self.cache) if len(found) > 1 else map(self.cache.get, found)
+                out.append(np.frombuffer(b"".join(ids), self.dtype))
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """A worker's encoder, with what it has cached, serves its later tasks too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def file_schema(dtype: np.dtype, length: int) -> pa.Schema:
     return pa.schema(
         [
@@ -181,17 +231,17 @@ def write_token_files(
     """Write the shards into ``folder`` (a URI that every executor reaches); returns one row per shard.
 
     A null text is an empty one and has the end id alone. Documents are ordered by id, null
-    first, then text; repeated rows are written as often as they occur. An empty table writes
+    first, then by the text's hash and text; repeated rows are written as often as they occur. An empty table writes
     no file. Other columns are ignored.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        encoder = Encoder(vocabulary)
+        encoder = encoder_for(vocabulary)
         shard = _Shard(folder, context.partitionId(), context.taskAttemptId(), encoder.dtype, length)
         end = np.array([end_id], encoder.dtype)
         n_docs = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             ids = batch.column("id").to_pylist()
             for doc_id, got in zip(ids, encoder(batch.column("text").to_pylist())):
                 shard.add(doc_id, np.concatenate([got, end]))
@@ -200,10 +250,12 @@ def write_token_files(
         if n_docs:
             yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "n_docs": [n_docs], "n_tokens": [tokens]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    # The range bounds are sampled from ids and hashes; texts decide among equal hashes only.
     return (
-        rows.repartitionByRange("id", "text")
-        .sortWithinPartitions("id", "text")
+        rows.repartitionByRange("id", "h")
+        .sortWithinPartitions("id", "h", "text")
+        .select("id", "text")
         .mapInArrow(encode, "shard long, n_docs long, n_tokens long")
     )
 

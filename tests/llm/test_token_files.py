@@ -1,4 +1,5 @@
 import glob
+import random
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import lodestone.llm.token_files as token_files_module
 from lodestone.llm.token_files import Encoder, token_files, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,7 +21,7 @@ def plain():
 
 def brute(rows, plain):
     out, at = [], 0
-    for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, r["text"] or "")):
+    for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0)):
         ids = [*plain.encode(r["text"] or "", add_special_tokens=False).ids, 0]
         out.append((r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -53,8 +55,19 @@ def test_odd_rows(odd, empty, plain, tmp_path):
 def test_encoder_equals_the_library(plain):
     texts = [
         "a<|endoftext|>b", "it's  we'LL\n\n x\t\ty  ", "\x1c\x1d a\x85b\xa0c", "日本語 テキスト 😀", "Ünïcödé 'S 're", "", None,
+        " ", " a", "a ", "a\n\nb c", "a\n b", "a \nb", "a\n \nb", "a\t\tb c\n", "a's 's b's x_y __ z", "1a2 b3c", "\n",
         "   ", "a\r\n\r\nb", "½ ² x² ª", "١٢٣ abc123def", "don't'll  's", "é ​ zero",
     ]
     encoder = Encoder(PATH)
     for text, got in zip(texts * 2, encoder(texts * 2)):
         assert got.tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_encoder_on_random_texts(plain, monkeypatch):
+    monkeypatch.setattr(token_files_module, "CACHE_PIECES", 40)
+    rng = random.Random(5)
+    encoder = Encoder(PATH)
+    for _ in range(40):
+        texts = ["".join(rng.choices("ab'sté1²_. \n\t", k=rng.randint(0, 60))) for _ in range(20)]
+        for text, got in zip(texts, encoder(texts)):
+            assert got.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
