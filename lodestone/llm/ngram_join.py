@@ -69,6 +69,13 @@ def signature(grams: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int((two ^ np.uint64(len(grams))).astype(np.int64))
 
 
+def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def key_of(doc_id: int | None, first: int) -> int:
     return NO_ID + (first & (NO_ID - 1)) if doc_id is None else doc_id
 
@@ -176,16 +183,18 @@ def similar_documents(
         kept = []
         for own in grams:
             own = np.unique(own)
-            kept.append(own[np.isin(own, two, assume_unique=True)])
+            kept.append(own[_in_sorted(own, two)])
         return pa.table({"b": table.column("b").cast(pa.int32()), "grams": pa.array([x.tobytes() for x in kept], pa.binary())})
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         known = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("grams")]
         known = np.unique(np.concatenate(known)) if known else np.empty(0, np.uint64)
+        prefixes = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in left.column("prefix")]
+        hits = _in_sorted(np.concatenate(prefixes) if prefixes else known, known)
+        cuts = np.cumsum([0] + [len(p) for p in prefixes]).tolist()
         grams, places = [], []
-        for raw in left.column("prefix"):
-            prefix = np.frombuffer(raw.as_buffer(), np.uint64)
-            at = np.flatnonzero(np.isin(prefix, known))
+        for prefix, a, b in zip(prefixes, cuts, cuts[1:]):
+            at = np.flatnonzero(hits[a:b])
             grams.append(prefix[at].astype(np.int64))
             places.append(at.astype(np.int32))
         bins = [np.frombuffer(x.as_buffer(), "<i4") for x in left.column("bins")]
