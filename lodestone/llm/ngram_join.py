@@ -229,6 +229,8 @@ def similar_documents(
             own = entries.withColumn("comp", F.col("cid")) if comps is None else (
                 entries.join(comps, entries["cid"] == comps["id"], "left").withColumn("comp", F.coalesce("comp", "cid")).drop("id")
             )
+            # The least place is that of the set with fewest rarer n-grams, the one nearest to all others.
+            own = own.withColumn("rare", F.col("place") if turn == 0 else F.lit(0))
             several = F.expr("low <> high")
             bounds = [F.min("comp").alias("low"), F.max("comp").alias("high")]
             left = own.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "place", "comp")])
@@ -239,7 +241,7 @@ def similar_documents(
                 right = some.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "place", "comp")])
                 pairs = left.join(right, "gram").where("x_comp < y_comp")
             else:
-                centre = F.min(F.struct(F.xxhash64(F.lit(turn), "cid").alias("h"), "cid", "n", "place", "comp")).alias("c")
+                centre = F.min(F.struct("rare", F.xxhash64(F.lit(turn), "cid").alias("h"), "cid", "n", "place", "comp")).alias("c")
                 right = stage.write(
                     own.groupBy("gram").agg(centre, *bounds).where(several).select("gram", *[F.col(f"c.{c}").alias(f"y_{c}") for c in ("cid", "n", "place", "comp")])
                 )
