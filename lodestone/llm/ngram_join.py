@@ -32,7 +32,7 @@ BINS = 64
 PRIME = 2147483647
 BITMAP = 1 << 24
 STAR = 256
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 1
 #: Rows without an id get ids from here on; ids of documents are below.
 NO_ID = 1 << 62
 STEP = np.uint64(0x9E3779B97F4A7C15)
