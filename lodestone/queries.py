@@ -364,3 +364,130 @@ sql("fn_parse_bad", "SELECT CAST(PARSE_DATE(s) AS STRING) AS d, CAST(PARSE_TIMES
     "SELECT * FROM (VALUES ('2024-01-31', NULL), (NULL, NULL), (NULL, NULL), ('2024-01-31', '2024-01-31 10:11:12'), (NULL, NULL)) AS t(d, t)")
 sql("fn_opaque", "SELECT n_name, soundex(n_name) AS s, CAST(levenshtein(n_name, 'NATION_1') AS BIGINT) AS d FROM nation",
     "SELECT n_name, 'N350' AS s, levenshtein(n_name, 'NATION_1') AS d FROM nation")
+
+# --- API layers -----------------------------------------------------------------------------
+
+
+def _tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    from lodestone.session import register
+
+    register(spark, sf_dir, list(names))
+
+
+@built(
+    "fluent_pipeline",
+    """SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey
+JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus <> 'F' GROUP BY n_name HAVING count(*) > 20""",
+)
+def _fluent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.plans.query import Table, call, col
+
+    _tables(spark, sf_dir, "customer", "nation", "orders")
+    return (
+        Table("customer")
+        .join(Table("nation"), col("c_nationkey") == col("n_nationkey"))
+        .join(Table("orders").where(col("o_orderstatus") != "F"), col("c_custkey") == col("o_custkey"))
+        .group_by("n_name")
+        .agg(call("count").alias("n"), call("round", call("sum", col("o_totalprice")), 2).alias("total"))
+        .where(col("n") > 20)
+        .frame(spark)
+    )
+
+
+@built("artifact_roundtrip", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 50000 GROUP BY o_orderstatus")
+def _artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.plans.artifact import Artifact
+    from lodestone.plans.query import Table, call, col
+
+    _tables(spark, sf_dir, "orders")
+    query = Table("orders").where(col("o_totalprice") > 50000).group_by("o_orderstatus").agg(call("count").alias("n"))
+    return Artifact.from_bytes(query.compile().to_bytes()).run(spark)
+
+
+@built("contract_checked", "SELECT p_partkey, p_size FROM part WHERE p_size > 40")
+def _contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.plans.query import Table
+    from lodestone.plans.types import spark_type
+
+    _tables(spark, sf_dir, "part")
+    part = Table("part", spark_type("struct<p_partkey:bigint,p_size:bigint>"))  # p_size is an int, which widens
+    return part.where(part.p_size > 40).select("p_partkey", "p_size").compile().run(spark)
+
+
+@built("parquet_roundtrip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def _parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.operators.staging import Stage
+    from lodestone.session import table
+    from lodestone.sources.io import read_parquet, write_parquet
+
+    path = f"{Stage(spark, 'parquet').path}/supplier"
+    write_parquet(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path, "zstd")
+    return read_parquet(spark, path)
+
+
+@built("union_by_name", "SELECT n_nationkey AS k, n_name AS a, CAST(NULL AS VARCHAR) AS b FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region")
+def _union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.plans.query import Table, col
+
+    _tables(spark, sf_dir, "nation", "region")
+    left = Table("nation").select(col("n_nationkey").alias("k"), col("n_name").alias("a"))
+    right = Table("region").select(col("r_name").alias("b"), col("r_regionkey").alias("k"))
+    return left.union(right, by_name=True, missing=True).frame(spark)
+
+
+# --- Models ---------------------------------------------------------------------------------
+
+
+@built("predict_linear", "SELECT c_custkey, CAST(round(CAST(c_acctbal AS FLOAT) * CAST(0.5 AS FLOAT) + CAST(2 AS FLOAT), 2) AS DOUBLE) AS score FROM customer")
+def _predict_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lodestone.ml.graph import Graph
+    from lodestone.ml.predict import predict
+    from lodestone.session import table
+
+    g = Graph()
+    g.output("raw", g.input("x") * 0.5 + 2.0)
+    scored = predict(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), g, {"x": F.col("c_acctbal")})
+    return scored.select("c_custkey", F.round("raw", 2).cast("double").alias("score"))
+
+
+@built("predict_mlp")
+def _predict_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lodestone.ml.graph import Graph
+    from lodestone.ml.predict import predict
+    from lodestone.session import table
+
+    vectors = table(spark, sf_dir, "embeddings")
+    width = vectors.select(F.size("embedding").alias("n")).first()["n"]
+    g = Graph()
+    hidden = g.input("x", width).linear(g.parameter("w1", 8, width, init="xavier"), g.parameter("b1", 8, init="zeros")).relu()
+    g.output("p", hidden.linear(g.parameter("w2", 1, 8, init="xavier"), g.parameter("b2", 1, init="zeros")).sigmoid())
+    return predict(vectors.select("vec_id", "embedding"), g, {"x": F.col("embedding")}).select("vec_id", "p")
+
+
+def _fit(spark: SparkSession, sf_dir: str, optimizer: str, rate: float) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lodestone.ml.fit import fit
+    from lodestone.ml.graph import Graph
+    from lodestone.session import table
+
+    g = Graph()
+    x, y = g.input("x", 1), g.input("y", 1)
+    out = x.linear(g.parameter("w", 1, 1, init="zeros"), g.parameter("b", 1, init="zeros"))
+    g.output("loss", out.loss("MSE", y))
+    items = table(spark, sf_dir, "lineitem")
+    return fit(items, g, {"x": F.col("l_quantity") / 50, "y": F.col("l_extendedprice") / 50000}, epochs=8, rate=rate, optimizer=optimizer).history
+
+
+@built("fit_linear")
+def _fit_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit(spark, sf_dir, "sgd", 0.5)
+
+
+@built("fit_adam")
+def _fit_adam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit(spark, sf_dir, "adam", 0.1)
