@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import scalar
 from lodestone.plans.types import spark_type
 
 
@@ -195,31 +196,6 @@ def _aggregate(e: Expr, a: list[Column]) -> Column:
     return {"count": F.count_distinct, "sum": F.sum_distinct, "min": F.min, "max": F.max, "avg": lambda c: F.call_function("avg_distinct", c)}[e.op](a[0])
 
 
-def _truncate(x: Column, scale: Column) -> Column:
-    unit = F.pow(F.lit(10.0), scale)
-    return F.signum(x) * F.floor(F.abs(x) * unit) / unit
-
-
-def _trim(e: Expr, a: list[Column]) -> Column:
-    side = e.get("side", "both")
-    function = {"both": F.btrim, "leading": F.ltrim, "trailing": F.rtrim}[side]
-    if len(a) == 1 and side == "both":
-        return F.trim(a[0])
-    return function(*a)
-
-
-def _extract(e: Expr, a: list[Column]) -> Column:
-    field = e.get("field").upper()
-    x = a[0]
-    if field in ("DOW", "DAYOFWEEK"):
-        return F.weekday(x) + 1
-    if field == "MICROSECOND":
-        return F.pmod(F.unix_micros(x.cast("timestamp")), F.lit(1_000_000)).cast("int")
-    if field == "MILLISECOND":
-        return F.pmod(F.unix_millis(x.cast("timestamp")), F.lit(1000)).cast("int")
-    return F.floor(F.extract(F.lit({"DAYOFYEAR": "DOY"}.get(field, field)), x)).cast("int")
-
-
 def _case(a: list[Column]) -> Column:
     out = F.when(a[0], a[1])
     for i in range(2, len(a) - 1, 2):
@@ -261,20 +237,20 @@ _BUILD: dict[str, Callable[[Expr, list[Column]], Column]] = {
     "add": lambda e, a: a[0] + a[1],
     "sub": lambda e, a: a[0] - a[1],
     "mul": lambda e, a: a[0] * a[1],
-    "div": lambda e, a: F.try_divide(a[0], a[1]),
-    "mod": lambda e, a: F.try_mod(a[0], a[1]),
-    "pmod": lambda e, a: F.when(a[1] != 0, F.pmod(a[0], a[1])),
+    "div": lambda e, a: scalar.safe_divide(*a),
+    "mod": lambda e, a: scalar.mod(*a),
+    "pmod": lambda e, a: scalar.pmod(*a),
     "round": lambda e, a: F.call_function("round", *a),
-    "truncate": lambda e, a: _truncate(a[0], a[1] if len(a) > 1 else F.lit(0)),
-    "log": lambda e, a: F.ln(a[0]) if len(a) == 1 else F.call_function("log", *a),
+    "truncate": lambda e, a: scalar.truncate(*a),
+    "log": lambda e, a: scalar.log(*a),
     "concat_ws": lambda e, a: F.call_function("concat_ws", *a),
-    "trim": _trim,
+    "trim": lambda e, a: scalar.trim(*a, side=e.get("side", "both")),
     "position": lambda e, a: F.call_function("locate", *a),
-    "split": lambda e, a: F.split(a[0], F.concat(F.lit("\\Q"), a[1], F.lit("\\E")), e.get("limit", -1)),
-    "extract": _extract,
+    "split": lambda e, a: scalar.split(a[0], a[1], e.get("limit", -1)),
+    "extract": lambda e, a: scalar.extract(e.get("field"), a[0]),
     "date_trunc": lambda e, a: F.date_trunc(e.get("field"), a[0]),
-    "to_date": lambda e, a: F.try_to_date(a[0], e.get("format")) if e.get("format") else F.try_to_date(a[0]),
-    "to_timestamp": lambda e, a: F.try_to_timestamp(a[0], F.lit(e.get("format", "yyyy-MM-dd HH:mm:ss"))),
+    "to_date": lambda e, a: scalar.to_date(a[0], e.get("format")),
+    "to_timestamp": lambda e, a: scalar.to_timestamp(a[0], e.get("format") or "yyyy-MM-dd HH:mm:ss"),
     "opaque": lambda e, a: F.call_function(e.get("name"), *a),
     "grouping": lambda e, a: F.grouping(a[0]) if len(a) == 1 else F.grouping_id(*a),
     "lead": lambda e, a: F.lead(a[0], e.get("offset", 1), e.get("default")),

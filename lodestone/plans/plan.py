@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.operators import relational
 from lodestone.plans.expr import Expr, column, name_of
 from lodestone.plans.types import spark_type
 
@@ -77,17 +78,9 @@ class Builder:
         return df.where(self._columns([p.get("condition")], df)[0])
 
     def _aggregate(self, p: Plan, child: Plan) -> DataFrame:
-        """Keys, then aggregates; ``sets``: lists of key numbers, or rollup or cube."""
         df = self.frame(child)
         keys, aggs = self._columns(p.get("keys"), df), self._columns(p.get("aggs"), df)
-        kind = p.get("sets")
-        if kind in ("rollup", "cube"):
-            return getattr(df, kind)(*keys).agg(*aggs)
-        if kind:
-            return df.groupingSets([[keys[i] for i in s] for s in kind], *keys).agg(*aggs)
-        if not keys:
-            return df.select(*aggs)  # as it stays unanalyzed, it can be a subquery with outer columns
-        return df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+        return relational.aggregate(df, keys, aggs, p.get("sets"))
 
     def _sort(self, p: Plan, child: Plan) -> DataFrame:
         df = self.frame(child)
@@ -109,11 +102,7 @@ class Builder:
         return a.join(b, column(p.get("condition"), self.frame), p.get("how"))
 
     def _union(self, p: Plan, *arms: Plan) -> DataFrame:
-        out = self.frame(arms[0])
-        for arm in arms[1:]:
-            other = self.frame(arm)
-            out = out.unionByName(other, p.get("missing", False)) if p.get("by_name") else out.unionAll(other)
-        return out.distinct() if p.get("distinct") else out
+        return relational.union([self.frame(a) for a in arms], p.get("by_name"), p.get("missing", False), p.get("distinct"))
 
     def _intersect(self, p: Plan, left: Plan, right: Plan) -> DataFrame:
         a, b = self.frame(left), self.frame(right)
@@ -137,18 +126,10 @@ class Builder:
     def _pivot(self, p: Plan, child: Plan) -> DataFrame:
         df = self.frame(child)
         keys, aggs = self._columns(p.get("keys"), df), self._columns(p.get("aggs"), df)
-        return df.groupBy(*keys).pivot(p.get("on"), list(p.get("values"))).agg(*aggs)
+        return relational.pivot(df, keys, p.get("on"), list(p.get("values")), aggs)
 
     def _unpivot(self, p: Plan, child: Plan) -> DataFrame:
-        """``columns``: (column, name in the output) pairs; NULL values go unless asked for."""
-        df = self.frame(child)
-        pairs = [(c, n) for c, n in p.get("columns")]
-        names = {c for c, _ in pairs}
-        ids = [c for c in df.columns if c not in names]
-        if any(c != n for c, n in pairs):
-            df = df.withColumnsRenamed(dict(pairs))
-        out = df.unpivot(ids, [n for _, n in pairs], p.get("name"), p.get("value"))
-        return out if p.get("nulls") else out.where(F.col(p.get("value")).isNotNull())
+        return relational.unpivot(self.frame(child), [tuple(x) for x in p.get("columns")], p.get("name"), p.get("value"), p.get("nulls"))
 
     def _lateral_join(self, p: Plan, left: Plan, right: Plan) -> DataFrame:
         """The right side sees the left's columns as ``outer`` ones."""
@@ -159,20 +140,10 @@ class Builder:
     def _generate(self, p: Plan, child: Plan) -> DataFrame:
         df = self.frame(child)
         e: Expr = p.get("generator")
-        args = self._columns(list(e.args), df)
-        made = F.call_function(e.op + ("_outer" if p.get("outer") and e.op != "stack" else ""), *args)
-        return df.select("*", made.alias(*p.get("names")))
+        return relational.generate(df, e.op, self._columns(list(e.args), df), list(p.get("names")), p.get("outer"))
 
     def _hint(self, p: Plan, child: Plan) -> DataFrame:
-        df = self.frame(child)
-        name, args = p.get("name").lower(), list(p.get("args", ()))
-        if name == "coalesce":
-            return df.coalesce(*args)
-        if name == "repartition":
-            return df.repartition(*args)
-        if name == "repartition_by_range":
-            return df.repartitionByRange(*args)
-        return df.hint(name, *args)
+        return relational.hint(self.frame(child), p.get("name"), *p.get("args", ()))
 
     def _predict(self, p: Plan, child: Plan) -> DataFrame:
         from lodestone.ml.predict import predict
