@@ -6,7 +6,8 @@ that two different sets share; documents with equal sets are one class from then
 under one n-gram are paired with a centre first, twice, and pairs of one component need no
 further proof that they are connected; then all pairs of classes in different components are
 made. A pair passes the length, positional and suffix filters before both whole texts are
-compared, once.
+compared, once. As all links run inside of components, they are counted there, block of classes
+against block of classes, by bit sets of the n-grams that two sets of a block share.
 
 Scale: an n-gram travels at most twice from each bucket of documents in the first exchange;
 centres are minima that combine before their shuffle; large stars are dealt out by salt; texts
@@ -32,6 +33,7 @@ BINS = 64
 PRIME = 2147483647
 BITMAP = 1 << 24
 STAR = 256
+BLOCK = 512
 BUCKETS_PER_PARTITION = 1
 #: Rows without an id get ids from here on; ids of documents are below.
 NO_ID = 1 << 62
@@ -101,11 +103,13 @@ def similar_documents(
     text_col: str = "text",
     n: int = 5,
     share: tuple[int, int] = (80, 100),
+    count_links: bool = True,
 ) -> DataFrame:
-    """One row per document: id, ``n_shingles``, ``component_id``.
+    """One row per document: id, ``n_shingles``, ``component_id`` and, if asked for, ``n_links``.
 
     Two documents link when ``share[1] * intersection >= share[0] * union`` of their sets of word
-    n-grams; the component is the smallest id that links reach. Null and empty texts have an
+    n-grams; the component is the smallest id that links reach, and ``n_links`` the number of other
+    rows that a row links with. Null and empty texts have an
     empty set, which links with nothing. Rows with one id are one document to the links. Null
     ids never are a component unless all of its rows lack ids; then the component is null.
     Other columns are ignored; an empty table gives an empty result. Ids are below 2**62.
@@ -215,16 +219,17 @@ def similar_documents(
         .cogroup(marks.groupBy("b"))
         .applyInArrow(mark, "k long, has_id boolean, n long, s1 long, s2 long, bins array<int>, grams array<long>, places array<int>")
     )
-    classes = stage.write(marked.where("n > 0").groupBy("s1", "s2").agg(F.min("k").alias("cid")))
+    classes = stage.write(marked.where("n > 0").groupBy("s1", "s2").agg(F.min("k").alias("cid"), F.count("*").alias("docs")))
     first = marked.where("n > 0").join(
-        classes.withColumnsRenamed({"s1": "c1", "s2": "c2"}), F.expr("k = cid and s1 = c1 and s2 = c2")
+        classes.select("cid", F.col("s1").alias("c1"), F.col("s2").alias("c2")), F.expr("k = cid and s1 = c1 and s2 = c2")
     )
     attributes = stage.write(first.where("size(grams) > 0").select("cid", "n", "bins"))
     entries = stage.write(
         first.select("cid", "n", F.explode(F.arrays_zip("grams", "places")).alias("e")).select("cid", "n", F.col("e.grams").alias("gram"), F.col("e.places").alias("place"))
     )
+    classes_of, comps = classes.withColumn("comp", F.col("cid")).withColumn("others", F.lit(0).cast("long")), None
     if not entries.isEmpty():
-        tried = links = comps = None
+        tried = links = None
         for turn in (0, 1, None):
             own = entries.withColumn("comp", F.col("cid")) if comps is None else (
                 entries.join(comps, entries["cid"] == comps["id"], "left").withColumn("comp", F.coalesce("comp", "cid")).drop("id")
@@ -269,12 +274,17 @@ def similar_documents(
             links = found if links is None else links.unionAll(found)
             comps = components(links, stage)
         if comps is not None:
-            classes = stage.write(
-                classes.join(comps, classes["cid"] == comps["id"], "left").select("s1", "s2", F.coalesce("comp", "cid").alias("cid"))
-            )
-    out = marked.select("k", "has_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    comp = F.when(F.col("n") == 0, F.when(F.col("has_id"), F.col("k"))).when(F.col("cid") < NO_ID, F.col("cid"))
-    return out.select(F.when(F.col("has_id"), F.col("k")).alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"))
+            classes_of = classes.join(comps, classes["cid"] == comps["id"], "left").select("s1", "s2", "cid", "docs", F.coalesce("comp", "cid").alias("comp"))
+            if count_links:
+                counts = stage.write(_count_links(rows, comps.join(classes, comps["id"] == classes["cid"]).select("cid", "comp", "docs"), n, share, buckets, stage))
+                classes_of = classes_of.join(counts, "cid", "left").withColumn("others", F.coalesce("others", F.lit(0)))
+            classes_of = stage.write(classes_of)
+    out = marked.select("k", "has_id", "n", "s1", "s2").join(classes_of, ["s1", "s2"], "left")
+    comp = F.when(F.col("n") == 0, F.when(F.col("has_id"), F.col("k"))).when(F.col("comp") < NO_ID, F.col("comp"))
+    columns = [F.when(F.col("has_id"), F.col("k")).alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id")]
+    if count_links:
+        columns.append(F.when(F.col("n") == 0, 0).otherwise(F.col("others") + F.col("docs") - 1).cast("long").alias("n_links"))
+    return out.select(*columns)
 
 
 def _verify(rows: DataFrame, pairs: DataFrame, n: int, share: tuple[int, int], buckets: int, stage: Stage) -> DataFrame:
@@ -288,8 +298,31 @@ def _verify(rows: DataFrame, pairs: DataFrame, n: int, share: tuple[int, int], b
         )
     )
     wanted = dealt.select("bucket", F.col("hub").alias("id")).unionAll(dealt.select("bucket", F.col("leaf").alias("id"))).distinct()
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        cache, sets = HashCache(), {}
+        for i, text in zip(left.column("id").to_pylist(), left.column("text")):
+            sets.setdefault(i, []).append(ngrams(text.as_py(), n, cache))
+        a, b = [], []
+        for hub, leaf in zip(right.column("hub").to_pylist(), right.column("leaf").to_pylist()):
+            for x in sets.get(hub, []):
+                for y in sets.get(leaf, []):
+                    both = np.concatenate([x, y])
+                    both.sort(kind="stable")
+                    same = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if den * same >= num * (len(x) + len(y) - same) and same:
+                        a.append(hub)
+                        b.append(leaf)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    texts = _texts(rows, wanted.select("id"), n).join(wanted, "id").select(F.col("bucket").alias("at"), "id", "text")
+    return texts.groupBy("at").cogroup(dealt.groupBy("bucket")).applyInArrow(compare, "a long, b long").distinct()
+
+
+def _texts(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, text) of about the documents with these ids: a bitmap of fixed size keeps most others from the join."""
+    spark = rows.sparkSession
     words = (
-        wanted.select(F.expr(spread_sql("id", BITMAP)).cast("long").alias("slot"))
+        ids.select(F.expr(spread_sql("id", BITMAP)).cast("long").alias("slot"))
         .groupBy(F.expr("cast(slot div 64 as int)").alias("at"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
         .toArrow()
@@ -308,24 +341,59 @@ def _verify(rows: DataFrame, pairs: DataFrame, n: int, share: tuple[int, int], b
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([pa.array(k).take(at), texts.take(at)], names=["id", "text"])
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        cache, sets = HashCache(), {}
-        for i, text in zip(left.column("id").to_pylist(), left.column("text")):
-            sets.setdefault(i, []).append(ngrams(text.as_py(), n, cache))
-        a, b = [], []
-        for hub, leaf in zip(right.column("hub").to_pylist(), right.column("leaf").to_pylist()):
-            for x in sets.get(hub, []):
-                for y in sets.get(leaf, []):
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    same = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if den * same >= num * (len(x) + len(y) - same) and same:
-                        a.append(hub)
-                        b.append(leaf)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return rows.where(F.col("text").isNotNull()).mapInArrow(narrow, "id long, text string")
 
-    texts = rows.where(F.col("text").isNotNull()).mapInArrow(narrow, "id long, text string").join(wanted, "id").select(F.col("bucket").alias("at"), "id", "text")
-    return texts.groupBy("at").cogroup(dealt.groupBy("bucket")).applyInArrow(compare, "a long, b long").distinct()
+
+def _count_links(rows: DataFrame, members: DataFrame, n: int, share: tuple[int, int], buckets: int, stage: Stage) -> DataFrame:
+    """(cid, others): the documents of other classes that a class (cid, comp, docs) links with."""
+    num, den = share
+    sizes = stage.write(members.groupBy("comp").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as bigint)").alias("blocks")))
+    own = members.join(sizes, "comp").withColumn("block", F.expr("pmod(xxhash64(cid), blocks)"))
+    wanted = stage.write(
+        own.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
+            F.col("cid").alias("id"), "comp", "docs", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        )
+    )
+
+    def count(table: pa.Table) -> pa.Table:
+        cache = HashCache()
+        groups: dict[tuple, dict[int, tuple]] = {}
+        for comp, low, high, i, docs, block, text in zip(*(table.column(c).to_pylist() for c in ("comp", "low", "high", "id", "docs", "block", "text"))):
+            groups.setdefault((comp, low, high), {})[i] = (docs, block, text)
+        ids, others = [], []
+        for (_, low, high), members in groups.items():
+            sets = [ngrams(text, n, cache) for _, _, text in members.values()]
+            docs, block = (np.array([m[k] for m in members.values()], np.int64) for k in (0, 1))
+            linked = _linked(sets, num, den)
+            if low != high:
+                linked &= block[:, None] != block[None, :]
+            ids += list(members)
+            others += (linked @ docs).tolist()
+        return pa.table({"cid": pa.array(ids, pa.int64()), "others": pa.array(others, pa.int64())})
+
+    bucket = F.expr(f"cast(pmod(xxhash64(comp, low, high), {buckets}) as int)").alias("bucket")
+    texts = _texts(rows, wanted.select("id"), n).join(wanted, "id").select(bucket, "comp", "low", "high", "id", "docs", "block", "text")
+    return texts.groupBy("bucket").applyInArrow(count, "cid long, others long").groupBy("cid").agg(F.sum("others").alias("others"))
+
+
+def _linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which sets link with which, by bit sets of the members that two or more of them have."""
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), size)
+    values, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(counts > 1) - 1
+    keep = counts[inverse] > 1
+    width = -(-int((counts > 1).sum()) // 64)
+    bits = np.zeros((len(sets), width), np.uint64)
+    at = number[inverse[keep]]
+    np.bitwise_or.at(bits, (owner[keep], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    out = np.zeros((len(sets), len(sets)), bool)
+    for i in range(len(sets)):
+        same = np.bitwise_count(bits & bits[i]).sum(axis=1, dtype=np.int64)
+        out[i] = den * same >= num * (size + size[i] - same)
+    np.fill_diagonal(out, False)
+    return out
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

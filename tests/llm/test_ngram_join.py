@@ -3,6 +3,7 @@ from itertools import combinations
 
 import pytest
 
+import lodestone.llm.ngram_join as module
 from lodestone.llm.ngram_join import op2_ngram_join, similar_documents
 
 
@@ -29,9 +30,12 @@ def brute(rows, n, num, den):
         for g in s:
             by.setdefault(g, []).append(i)
     pairs = {p for m in by.values() for p in combinations(m, 2)}
+    links = [0] * len(rows)
     for i, j in pairs:
         if den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
             root[find(i)] = find(j)
+            links[i] += 1
+            links[j] += 1
     for i, j in combinations(range(len(rows)), 2):
         if ids[i] is not None and ids[i] == ids[j] and sets[i] and sets[j]:
             root[find(i)] = find(j)
@@ -39,7 +43,7 @@ def brute(rows, n, num, den):
     for i in range(len(rows)):
         if ids[i] is not None:
             least[find(i)] = min(ids[i], least.get(find(i), ids[i]))
-    return sorted(((ids[i], len(sets[i]), least.get(find(i)) if sets[i] else ids[i]) for i in range(len(rows))), key=str)
+    return sorted(((ids[i], len(sets[i]), least.get(find(i)) if sets[i] else ids[i], links[i]) for i in range(len(rows))), key=str)
 
 
 def test_matches_brute_force(spark, docs):
@@ -56,8 +60,10 @@ def test_odd_rows(odd, empty):
 
 
 @pytest.mark.parametrize("n, share", [(4, (85, 100)), (2, (50, 100))])
-def test_chains_and_crowds(spark, n, share):
+def test_chains_and_crowds(spark, monkeypatch, n, share):
     """Chains whose ends differ, a crowd of near copies, and one passage that all share."""
+    monkeypatch.setattr(module, "BLOCK", 20)
+    monkeypatch.setattr(module, "STAR", 16)
     rng = random.Random(n)
     word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 40))
     common = [word() for _ in range(12)]

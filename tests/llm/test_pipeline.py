@@ -39,7 +39,7 @@ def test_language_id_keeps_texts_with_words_of_a_language(stages):
 
 def test_near_duplicates(stages):
     _, before, after = stages[1]
-    want = {i for i, _, c in components(before.collect(), 5, 80, 100) if i == c}
+    want = {i for i, _, c, _ in components(before.collect(), 5, 80, 100) if i == c}
     assert {r["doc_id"] for r in after.collect()} == want
 
 
