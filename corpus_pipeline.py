@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words or id stay.
     """
-    gone = similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = similar_documents(docs, count_links=False).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
