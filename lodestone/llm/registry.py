@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_ngram_join": ngram_join.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_secret_scan": secrets.ORACLE_SQL,
+    "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }

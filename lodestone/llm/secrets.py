@@ -146,3 +146,28 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
     )
+
+
+def _oracle() -> str:
+    """The query in SQL, without the index: positions are sums over the matches and the pieces between them."""
+    parts = []
+    for order, rule in enumerate(RULES):
+        pattern = rule.java.replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, {order} AS ord, '{rule.kind}' AS kind, hits[i] AS hit, keys[i] AS key,
+  coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+FROM (SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, hits, keys, gaps FROM (
+  SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS hits, regexp_extract_all(text, '{pattern}', {rule.group}) AS keys,
+         string_split_regex(text, '{pattern}') AS gaps
+  FROM documents WHERE regexp_matches(text, '{pattern}')) a) b WHERE length(keys[i]) >= {rule.least}"""
+        )
+    counts = ", ".join(f"count(*) FILTER (ord = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)
+    return f"""WITH s AS ({" UNION ALL ".join(parts)}),
+t AS (SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(hit) AS BIGINT) AS span FROM s),
+a AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY start, ord) FILTER (ord < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY start, ord) AS spans
+  FROM t GROUP BY doc_id)
+SELECT d.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id"""
+
+
+ORACLE_SQL = _oracle()

@@ -378,3 +378,20 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+ORACLE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+s AS (SELECT doc_id, i FROM p WHERE win IN (SELECT win FROM p GROUP BY win HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM s)),
+v AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+k AS (
+  SELECT v.doc_id, count(c.j) AS n_removed, string_agg(CASE WHEN c.j IS NULL THEN word END, ' ' ORDER BY v.j) AS kept
+  FROM v LEFT JOIN c ON v.doc_id = c.doc_id AND v.j = c.j GROUP BY v.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
