@@ -225,7 +225,7 @@ sql(
 
 # --- Windows --------------------------------------------------------------------------------
 
-_E = "FROM events WHERE user_id < 40"
+_E = "FROM events"
 _O = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
 sql("win_row_number", f"SELECT event_id, CAST(row_number() {_O}) AS BIGINT) AS rn {_E}")
 sql("win_rank", f"SELECT event_id, CAST(rank() OVER (PARTITION BY user_id ORDER BY event_type) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS BIGINT) AS d {_E}")
@@ -249,9 +249,9 @@ sql("win_top_per_group", "SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey
 # --- Order, limit, sets ---------------------------------------------------------------------
 
 _L = "(SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
-sql("sort_nulls_last", f"SELECT doc_id, toxic FROM {_L} t ORDER BY toxic ASC NULLS LAST, doc_id LIMIT 50")
-sql("sort_desc_nulls_first", f"SELECT doc_id, toxic FROM {_L} t ORDER BY toxic DESC NULLS FIRST, doc_id DESC LIMIT 700")
-sql("sort_alias", "SELECT o_orderkey, o_totalprice * 0.5 AS half FROM orders ORDER BY half DESC, o_orderkey LIMIT 25")
+sql("sort_nulls_last", f"SELECT doc_id, toxic FROM {_L} t ORDER BY toxic ASC NULLS LAST, doc_id")
+sql("sort_desc_nulls_first", f"SELECT doc_id, toxic FROM {_L} t ORDER BY toxic DESC NULLS FIRST, doc_id DESC")
+sql("sort_alias", "SELECT o_orderkey, o_totalprice * 0.5 AS half FROM orders ORDER BY half DESC, o_orderkey")
 sql("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
 sql("limit_zero", "SELECT o_orderkey FROM orders LIMIT 0")
 sql("distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
@@ -284,7 +284,7 @@ sql("derived_table", "SELECT m, count(*) AS n FROM (SELECT c_nationkey, max(c_mk
 
 # --- Generators -----------------------------------------------------------------------------
 
-_D = "documents WHERE doc_id < 30"
+_D = "documents"
 sql(
     "explode",
     f"SELECT doc_id, w FROM (SELECT doc_id, text FROM {_D}) t LATERAL VIEW explode(split(text, ' ')) v AS w",
@@ -302,9 +302,9 @@ sql(
 )
 sql(
     "posexplode",
-    "SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(CAST(x AS DOUBLE), 6) AS x FROM embeddings LATERAL VIEW posexplode(embedding) v AS pos, x WHERE vec_id < 20",
+    "SELECT vec_id, CAST(pos AS BIGINT) AS pos, round(CAST(x AS DOUBLE), 6) AS x FROM embeddings LATERAL VIEW posexplode(embedding) v AS pos, x",
     """SELECT vec_id, pos - 1 AS pos, round(CAST(embedding[pos] AS DOUBLE), 6) AS x
-FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings WHERE vec_id < 20) t""",
+FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) t""",
 )
 sql(
     "inline",
@@ -329,8 +329,8 @@ sql("fn_like", f"SELECT s, s LIKE 'a%' AS p, s LIKE 'a_c' AS q, s NOT LIKE '%b%'
 sql("fn_like_escape", f"SELECT s, s LIKE 'a!%c' ESCAPE '!' AS p, s LIKE 'a!_c' ESCAPE '!' AS q FROM {_S}")
 sql("fn_cast", "SELECT CAST('42' AS INT) AS i, CAST(7.9 AS BIGINT) AS b, CAST(3 AS DOUBLE) AS d, CAST(12 AS STRING) AS s, CAST(1 AS BOOLEAN) AS t, CAST(CAST('2024-02-29' AS DATE) AS STRING) AS dt, CAST(CAST('2024-02-29 01:02:03' AS TIMESTAMP) AS STRING) AS ts",
     "SELECT 42 AS i, CAST(7 AS BIGINT) AS b, CAST(3 AS DOUBLE) AS d, '12' AS s, true AS t, '2024-02-29' AS dt, '2024-02-29 01:02:03' AS ts")
-sql("fn_arith_div0", "SELECT o_orderkey, SAFE_DIVIDE(o_totalprice, o_orderkey % 3) AS d, SAFE_MOD(o_orderkey, o_orderkey % 3) AS m FROM orders WHERE o_orderkey < 500",
-    "SELECT o_orderkey, o_totalprice / nullif(o_orderkey % 3, 0) AS d, o_orderkey % nullif(o_orderkey % 3, 0) AS m FROM orders WHERE o_orderkey < 500")
+sql("fn_arith_div0", "SELECT o_orderkey, SAFE_DIVIDE(o_totalprice, o_orderkey % 3) AS d, SAFE_MOD(o_orderkey, o_orderkey % 3) AS m FROM orders",
+    "SELECT o_orderkey, o_totalprice / nullif(o_orderkey % 3, 0) AS d, o_orderkey % nullif(o_orderkey % 3, 0) AS m FROM orders")
 sql("fn_math", """SELECT s_suppkey, abs(s_acctbal) AS a, CAST(ceil(s_acctbal) AS BIGINT) AS c, CAST(floor(s_acctbal) AS BIGINT) AS f, round(sqrt(abs(s_acctbal)), 8) AS q,
        round(cbrt(s_acctbal), 8) AS k, round(exp(s_nationkey / 10.0), 8) AS e, CAST(pow(s_nationkey, 2) AS BIGINT) AS p, CAST(sign(s_acctbal) AS INT) AS s FROM supplier""",
     """SELECT s_suppkey, abs(s_acctbal) AS a, CAST(ceil(s_acctbal) AS BIGINT) AS c, CAST(floor(s_acctbal) AS BIGINT) AS f, round(sqrt(abs(s_acctbal)), 8) AS q,
