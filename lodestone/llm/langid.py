@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,31 +48,55 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
+    """Sorted 64-bit keys of words and of grams (by length), and their log scores by language, less their maximum."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by length - 1
+    words: tuple[np.ndarray, np.ndarray]
+    grams: list[tuple[np.ndarray, np.ndarray]]  # by length - 1
     prior: np.ndarray
 
-    def word(self, word: str) -> np.ndarray:
-        """Log scores by language, less their maximum."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word: its own, or the mean of its longest known grams, or zeros."""
+        out, known = _look_up(self.words, _keys(words))
+        left = np.flatnonzero(~known)
         for n in range(LONGEST, 0, -1):
-            known = [self.grams[n - 1][g] for g in grams_of(word, n) if g in self.grams[n - 1]]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-
-def _scores(counts: pd.DataFrame, key: str, langs: list[str]) -> dict[str, np.ndarray]:
+            if not len(left):
+                break
+            grams = [grams_of(words[i], n) for i in left.tolist()]
+            owner = np.repeat(np.arange(len(left)), [len(g) for g in grams])
+            rows, found = _look_up(self.grams[n - 1], _keys([g for own in grams for g in own]))
+            count = np.bincount(owner[found], minlength=len(left))
+            total = np.stack([np.bincount(owner, rows[:, j], len(left)) for j in range(rows.shape[1])], axis=1) if rows.shape[1] else np.zeros((len(left), 0))
+            some = count > 0
+            out[left[some]] = total[some] / count[some, None]
+            left = left[~some]
+        return out
+
+
+def _keys(texts: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts), np.uint64, len(texts))
+
+
+def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the table, zeros for keys that it has not, and which it has."""
+    have, rows = table
+    if not len(have):
+        return np.zeros((len(keys), rows.shape[1]), np.float32), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    found = have[at] == keys
+    return np.where(found[:, None], rows[at], np.float32(0)), found
+
+
+def _scores(counts: pd.DataFrame, key: str, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(counts):
-        return {}
+        return np.empty(0, np.uint64), np.zeros((0, len(langs)), np.float32)
     wide = counts.pivot_table(index=key, columns="lang", values="n", aggfunc="sum", fill_value=0).reindex(columns=langs, fill_value=0)
     n = wide.to_numpy(np.float64) + 0.5
     logs = np.log(n / n.sum(axis=0))
     logs -= logs.max(axis=1, keepdims=True)
-    return dict(zip(wide.index, logs.astype(np.float32)))
+    keys = _keys(list(wide.index))
+    order = np.argsort(keys)
+    return keys[order], logs[order].astype(np.float32)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -129,36 +154,39 @@ class Scorer:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.rows = np.zeros((1024, len(self.model.langs) + 1), np.float32)
-        self.n = 0
-
-    def _add(self, raw: bytes) -> int:
-        pieces = LETTERS.findall(raw.decode("utf-8", "surrogatepass").lower())
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        row = self.rows[self.n]
-        row[:] = 0
-        for piece in pieces:
-            row[:-1] += self.model.word(piece)
-        row[-1] = len(pieces)
-        self.index[raw] = self.n
-        self.n += 1
-        return self.n - 1
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        """The language and its posterior at a temperature of the root of the number of words."""
-        if self.n > CACHE_WORDS // 2:
+        self.rows = np.zeros((0, len(self.model.langs) + 1), np.float32)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Cached rows: the sum over a word's runs of letters, and their number."""
+        runs = [LETTERS.findall(raw.decode("utf-8", "surrogatepass").lower()) for raw in new]
+        numbers: dict[str, int] = {}
+        flat = np.array([numbers.setdefault(r, len(numbers)) for own in runs for r in own], np.int64)
+        owner = np.repeat(np.arange(len(new)), [len(own) for own in runs])
+        scores = self.model.score(list(numbers))
+        rows = np.zeros((len(new), self.rows.shape[1]), np.float32)
+        np.add.at(rows[:, :-1], owner, scores[flat])
+        rows[:, -1] = np.bincount(owner, minlength=len(new))
+        self.index.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.rows = np.concatenate([self.rows, rows])
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Each text's language and its posterior at a temperature of the root of the number of words."""
+        words = [words_of(t, False) for t in texts]
+        seen = {w for own in words for w in own}
+        if len(self.index) + len(seen) > CACHE_WORDS // 4:
             self.clear()
-        words = words_of(text, False)
-        get, add = self.index.get, self._add
-        at = np.fromiter([i if (i := get(w)) is not None else add(w) for w in words], np.int64, len(words))
-        total = self.rows[at].sum(axis=0, dtype=np.float64) if len(at) else np.zeros(self.rows.shape[1])
-        if total[-1] == 0 or not self.model.langs:
-            return UNKNOWN, 0.0
-        logits = (total[:-1] + self.model.prior) / np.sqrt(total[-1])
-        odds = np.exp(logits - logits.max())
-        best = int(np.argmax(logits))
-        return self.model.langs[best], float(odds[best] / odds.sum())
+        self._learn([w for w in seen if w not in self.index])
+        get, out = self.index.__getitem__, []
+        for own in words:
+            total = self.rows[np.fromiter(map(get, own), np.int64, len(own))].sum(axis=0, dtype=np.float64)
+            if total[-1] == 0 or not self.model.langs:
+                out.append((UNKNOWN, 0.0))
+                continue
+            logits = (total[:-1] + self.model.prior) / np.sqrt(total[-1])
+            odds = np.exp(logits - logits.max())
+            best = int(np.argmax(logits))
+            out.append((self.model.langs[best], float(odds[best] / odds.sum())))
+        return out
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -173,8 +201,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches, "text"):
-            got = [scorer(t) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, "text", 4 << 20):
+            got = scorer(batch.column("text").to_pylist())
             kept = [batch.column(f"k{i}") for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
