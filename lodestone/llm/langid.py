@@ -189,7 +189,14 @@ class Scorer:
         return out
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(
+    docs: DataFrame,
+    model: Model,
+    text_col: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    pred_col: str = "lang_pred",
+    score_col: str = "score",
+) -> DataFrame:
     """One row per document: the ``keep`` columns, ``lang_pred``, ``score``.
 
     Null texts and texts without a letter are ``und`` with score 0, and so are all texts under
@@ -211,7 +218,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
 
     fields = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     out = rows.mapInArrow(score, f"{fields}{', ' if fields else ''}lang_pred string, score double")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias(pred_col), F.col("score").alias(score_col))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -83,7 +84,10 @@ def test_run_equals_its_stages(spark, stages):
 
 
 def test_odd_and_empty_documents(spark, odd, empty):
-    for docs in (odd.select("doc_id", "text", "lang", "source", "n"), empty):
-        for _, function in pipeline.STAGES:
-            docs = function(spark, docs, SF).cache()
-            docs.count()
+    clash = odd.select("doc_id", "text", "lang", "source", *[F.lit("kept").alias(n) for n in ("score", "lang_pred", "mix_id", "mix_copy", "mix_times", "id")])
+    for docs in (clash, empty):
+        for _, function in pipeline.STAGES[:-1]:
+            columns, docs = docs.columns, function(spark, docs, SF).cache()
+            assert docs.columns == columns
+            assert docs is not clash and {r["score"] for r in docs.collect()} == {"kept"} if "score" in columns else docs.count() == 0
+        assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
