@@ -21,11 +21,19 @@ from lodestone.operators.staging import Stage
 LEAST_SCORE = 0.3
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that the documents do not have."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; the model learns from the documents that have a language."""
     columns = tuple(docs.columns)
-    found = identify(docs, fit(docs), keep=columns)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    pred, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    found = identify(docs, fit(docs), keep=columns, pred_col=pred, score_col=score)
+    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +54,13 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Each document as often as the mix takes its words, up to 3 times; what is left of a whole
     time becomes one more with that chance, by a hash of the id. Documents without words go."""
     mix = mix_sources(docs).groupBy("doc_id").agg(F.max("taken").alias("mix_taken"), F.max("size").alias("mix_size"))
+    key, times, copy = (fresh(n, docs.columns) for n in ("mix_id", "mix_times", "mix_copy"))
     share = F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     copies = mix.where("mix_taken > 0").select(
-        F.col("doc_id").alias("mix_id"), F.floor(F.col("mix_taken") / F.col("mix_size") + share).cast("int").alias("mix_copies")
+        F.col("doc_id").alias(key), F.floor(F.col("mix_taken") / F.col("mix_size") + share).cast("int").alias(times)
     )
-    joined = docs.join(copies.where("mix_copies > 0"), docs["doc_id"].eqNullSafe(F.col("mix_id")))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
+    joined = docs.join(copies.where(F.col(times) > 0), docs["doc_id"].eqNullSafe(F.col(key)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
