@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Settings that fix semantics (time zone, ANSI errors) or let Spark re-plan at run time.
 DEFAULTS = {
@@ -34,8 +35,19 @@ def get_session(app: str = "lodestone", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: Schemas by path and time of change, so that a table's footers are read once, not for each query.
+_SCHEMAS: dict[tuple[str, int], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place)
+    key = (path, status.getModificationTime())
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
