@@ -35,3 +35,16 @@ def test_odd_rows(spark, odd, empty):
     assert len(rows) == odd.count() and all(0 <= r["severity"] <= 2 for r in rows)
     assert score(empty, model).count() == 0
     assert score(odd, fit(empty, labels)).count() == odd.count()
+
+
+def test_held_out_documents(spark):
+    """Half of the labels train, the other half is judged."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = score(docs.where(~half), fit(docs, labels.where(half))).join(labels.select("doc_id", F.col("toxic").alias("truth")), "doc_id").collect()
+    toxic, clean = ([r for r in rows if r["truth"] == t] for t in (1, 0))
+    assert np.mean([r["toxic"] for r in toxic]) > 0.8
+    assert np.mean([r["toxic"] for r in clean]) < 0.01
