@@ -55,15 +55,18 @@ def exact_dedup(
         F.sha2(norm.cast("binary"), 256).alias("sha"),
         norm.cast("binary").alias("rest"),
     )
-    decided, keys, width, number = [], ["digit"], first_digit, 0
+    decided, keys, width = [], ["digit"], first_digit
     while True:
         rows = rows.withColumn("digit", F.substring("rest", 1, width)).withColumn(
             "rest", F.expr(f"substring(rest, {width + 1})")
         )
-        groups = rows.groupBy(*keys).agg(
-            F.count("*").alias("n"),
-            F.min(F.struct("id", "sha")).alias("next_group"),
-            F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("u"), F.col("id").alias("i"))).alias("best"),
+        # Written, the groups meet the rows by an exchange of their own, and a hot digit's rows can be split.
+        groups = stage.write(
+            rows.groupBy(*keys).agg(
+                F.count("*").alias("n"),
+                F.min(F.struct("id", "sha")).alias("next_group"),
+                F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("u"), F.col("id").alias("i"))).alias("best"),
+            )
         )
         done = (F.col("n") == 1) | (F.octet_length("digit") < width)
         joined = rows.join(groups, keys).select(
@@ -78,7 +81,6 @@ def exact_dedup(
             F.when(~done, F.col("rest")).alias("rest"),
         )
         written = stage.write(joined)
-        number += 1
         decided.append(
             written.where("done").select(
                 F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")
