@@ -127,7 +127,7 @@ def mix_sources(
 
     hashed = sized.join(spec, F.col("m_source").eqNullSafe(F.col("s_source"))).withColumn(
         "h", F.xxhash64(F.lit(seed), F.col("m_id"))
-    ).withColumn("bucket", F.shiftrightunsigned("h", 50))
+    ).withColumn("bucket", F.shiftrightunsigned("h", 52))
     earlier = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         hashed.groupBy("s", "bucket")
