@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.words import CACHE_WORDS, slices, words_of
+from lodestone.operators.staging import Stage
 
 #: Bounds of the fit: documents in the sample, entries of the model for one language.
 SAMPLE_DOCS = 20_000
@@ -124,6 +125,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             )
 
     words = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = Stage(docs.sparkSession, "langid").write(words)
 
     def best(frame: DataFrame, key: str, most: int) -> pd.DataFrame:
         from pyspark.sql import Window
