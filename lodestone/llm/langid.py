@@ -175,7 +175,7 @@ class Scorer:
         """Each text's language and its posterior at a temperature of the root of the number of words."""
         words = [words_of(t, False) for t in texts]
         seen = {w for own in words for w in own}
-        if len(self.index) + len(seen) > CACHE_WORDS // 4:
+        if len(self.index) + len(seen) > CACHE_WORDS // 2:
             self.clear()
         self._learn([w for w in seen if w not in self.index])
         get, out = self.index.__getitem__, []

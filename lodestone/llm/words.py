@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: An entry of a word cache takes about 150 bytes; a full cache is emptied.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 
 
 class HashCache(dict):
