@@ -14,9 +14,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.words import CACHE_WORDS, slices, words_of
 from lodestone.operators.staging import Stage
 
+if TYPE_CHECKING:  # only the driver needs it, workers save its memory
+    import pandas
+
 #: Bounds of the fit: documents in the sample, entries of the model for one language.
 SAMPLE_DOCS = 20_000
 MOST_WORDS = 50_000
@@ -88,7 +91,7 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np
     return np.where(found[:, None], rows[at], np.float32(0)), found
 
 
-def _scores(counts: pd.DataFrame, key: str, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _scores(counts: pandas.DataFrame, key: str, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(counts):
         return np.empty(0, np.uint64), np.zeros((0, len(langs)), np.float32)
     wide = counts.pivot_table(index=key, columns="lang", values="n", aggfunc="sum", fill_value=0).reindex(columns=langs, fill_value=0)
@@ -127,7 +130,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     words = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = Stage(docs.sparkSession, "langid").write(words)
 
-    def best(frame: DataFrame, key: str, most: int) -> pd.DataFrame:
+    def best(frame: DataFrame, key: str, most: int) -> pandas.DataFrame:
         from pyspark.sql import Window
 
         ranked = frame.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key)))
@@ -175,7 +178,7 @@ class Scorer:
         """Each text's language and its posterior at a temperature of the root of the number of words."""
         words = [words_of(t, False) for t in texts]
         seen = {w for own in words for w in own}
-        if len(self.index) + len(seen) > CACHE_WORDS // 2:
+        if len(self.index) + len(seen) > CACHE_WORDS // 8:
             self.clear()
         self._learn([w for w in seen if w not in self.index])
         get, out = self.index.__getitem__, []
@@ -210,7 +213,7 @@ def identify(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             got = scorer(batch.column("text").to_pylist())
             kept = [batch.column(f"k{i}") for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
