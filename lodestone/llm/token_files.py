@@ -47,7 +47,7 @@ _L, _N, _S = _characters("L"), _characters("N"), r"\t\n\x0b\x0c\r \x85\xa0"
 #: The published pattern of byte-level BPE pre-tokenization for texts that ``ODD`` does not match, the commonest case first.
 BYTE_LEVEL = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Pieces in a cache, about 200 bytes each; a full cache is emptied.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 
 
 class Encoder:
