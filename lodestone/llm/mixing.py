@@ -65,6 +65,7 @@ def mix_sources(
     stage = Stage(spark, "mixing")
     sized = stage.write(
         docs.select(
+            F.monotonically_increasing_id().alias("m_row"),
             F.col(id_col).alias("m_id"),
             F.col(source_col).cast("string").alias("m_source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("m_size"),
@@ -134,7 +135,7 @@ def mix_sources(
         .agg(F.sum("m_size").alias("n"))
         .select("s", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     )
-    inside = Window.partitionBy("s", "bucket").orderBy("h", "m_id", "m_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "bucket").orderBy("h", "m_id", "m_size", "m_row").rowsBetween(Window.unboundedPreceding, -1)
     # Blocks: the first `extra` have base + 1 words, the others base.
     lo = lambda b: f"({b} * base + least({b}, extra))"
     of = lambda w: (
@@ -155,7 +156,7 @@ def mix_sources(
     )
     return (
         placed.join(taken, ["s", "block"], "left")
-        .groupBy("m_id", "m_size", "source_size", "target", "s", "off")
+        .groupBy("m_row", "m_id", "m_size", "source_size", "target")
         .agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
         .select(
             F.col("m_id").alias(id_col),

@@ -40,3 +40,10 @@ def test_odd_rows(odd, empty):
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
     assert sum(r["size"] == 0 for r in rows) == 3
     assert mix_sources(empty).count() == 0
+
+
+def test_repeated_rows_without_words(spark):
+    rows = [(1, "", "x"), (1, "", "x"), (None, None, "x"), (None, " ", "x"), (2, "a few words", "x"), (2, "a few words", "x")]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 3), (2, 3)]
+    assert all(r["taken"] == 0 for r in got if not r["size"])
