@@ -35,6 +35,8 @@ RENAMED = {
 WITH_INTS = {"Reshape": "shape", "Squeeze": "axes", "Unsqueeze": "axes", "Expand": "shape", "ReduceSum": "axes"}
 NAMES = {**{k: (k, v) for k, v in SAME.items()}, **RENAMED}
 BACK = {theirs: (ours, {b: a for a, b in attrs.items()}) for ours, (theirs, attrs) in NAMES.items()}
+#: Tensor types of the format.
+CASTS = {"float32": 1, "int32": 6, "int64": 7, "bool": 9, "float64": 11}
 FLAGS = ("trans_a", "trans_b", "keep")
 
 
@@ -168,8 +170,12 @@ def export(graph: Graph) -> bytes:
             constant(out, np.asarray(n.get("value"), np.float32))
         elif n.op == "Linear":
             emit("Gemm", ins, out, {"transB": 1})
-        elif n.op in ("Dropout", "Cast"):
+        elif n.op == "Dropout":
             emit("Identity", ins, out, {})
+        elif n.op == "Cast":
+            # Values are floats between our operations, so the cast goes there and back.
+            emit("Cast", ins, f"{out}_c", {"to": CASTS[n.get("to")]})
+            emit("Cast", [f"{out}_c"], out, {"to": CASTS["float32"]})
         elif n.op == "Silu":
             emit("Sigmoid", ins, f"{out}_s", {})
             emit("Mul", [ins[0], f"{out}_s"], out, {})
@@ -294,6 +300,11 @@ def load(data: bytes) -> Graph:
         args = [made[x] for x in ins if x in made]
         if op in ("Identity", "Dropout"):
             made[outs[0]] = args[0]
+        elif op == "Cast":
+            to = next((name for name, kind in CASTS.items() if kind == attrs["to"]), None)
+            if to is None:
+                raise NotImplementedError(f"cast to tensor type {attrs['to']}")
+            made[outs[0]] = graph.add("Cast", args[0], to=to)
         elif op == "Constant":
             tensor = np.asarray(attrs["value"])
             if tensor.dtype == np.int64:

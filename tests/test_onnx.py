@@ -46,3 +46,15 @@ def test_runtime_and_round_trip_agree(name, graph, data):
     for o, got in evaluate(again, data).items():
         assert np.allclose(got, want[o], atol=1e-4), o
     assert set(load(export(again)).outputs) == set(graph.outputs)
+
+
+@pytest.mark.parametrize("to", ["int64", "int32", "bool", "float32", "float64"])
+def test_cast_keeps_its_type(to):
+    g = Graph()
+    x = g.input("x", 3)
+    g.output("y", x.apply("Cast", to=to) * 2.0)
+    feed = {"x": np.array([[1.7, -2.6, 0.0]], np.float32)}
+    want = evaluate(g, feed)["y"]
+    data = export(g)
+    assert evaluate(load(data), feed)["y"] == pytest.approx(want)
+    assert ort.InferenceSession(data).run(None, feed)[0] == pytest.approx(want)
