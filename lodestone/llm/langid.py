@@ -4,7 +4,7 @@ A word that was seen in training scores by its log frequency in each language; a
 falls back to its character 4-grams, those failing to 3-, 2- and 1-grams, each by their log
 frequency in each language. A document's score is the sum over its words.
 
-The model is fitted on a bounded sample of labelled documents (``SAMPLE_DOCS``, by a hash of
+The model is fitted on a bounded sample of labelled documents (``SAMPLE_DOCS``, dealt evenly over the languages, by a hash of
 the id) and holds at most ``MOST_WORDS`` words and ``MOST_GRAMS`` grams a language, the most
 frequent ones, so that its broadcast has a fixed bound. Every document is scored whole.
 """
@@ -30,6 +30,7 @@ if TYPE_CHECKING:  # only the driver needs it, workers save its memory
 
 #: Bounds of the fit: documents in the sample, entries of the model for one language.
 SAMPLE_DOCS = 20_000
+LEAST_DOCS = 32
 MOST_WORDS = 50_000
 MOST_GRAMS = 30_000
 LONGEST = 4
@@ -103,14 +104,32 @@ def _scores(counts: pandas.DataFrame, key: str, langs: list[str]) -> tuple[np.nd
     return keys[order], logs[order].astype(np.float32)
 
 
+def shares(counts: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each language's rows in a sample of about ``most``: equal numbers, smaller languages whole.
+
+    Where there are so many languages that an equal number would be below ``LEAST_DOCS``, it is that.
+    """
+    left, quota = most, 0.0
+    for i, n in enumerate(sorted(counts.values())):
+        quota = left / (len(counts) - i)
+        if n >= quota:
+            break
+        left -= n
+    else:
+        return dict.fromkeys(counts, 1.0)
+    return {x: min(1.0, max(quota, LEAST_DOCS) / n) for x, n in counts.items()}
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from the rows with text and language; no rows, no languages."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
-    total = rows.count()
-    if total > SAMPLE_DOCS:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(1 << 20)) < int(SAMPLE_DOCS / total * (1 << 20)))
+    rates = shares({r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}, SAMPLE_DOCS)
+    if any(rate < 1 for rate in rates.values()):
+        limits = docs.sparkSession.createDataFrame([(x, int(rate * (1 << 40))) for x, rate in rates.items()], "lang string, limit long")
+        chance = F.pmod(F.xxhash64(F.lit(8), "id", "text"), F.lit(1 << 40))
+        rows = rows.join(F.broadcast(limits), "lang").where(chance < F.col("limit")).select("id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -145,7 +164,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         )
         grams.append(best(pieces.groupBy("lang", "gram").agg(F.sum("times").alias("n")), "gram", MOST_GRAMS))
     langs = sorted({x for part in [top, *grams] for x in part["lang"]})
-    counts = [(grams[0][grams[0]["lang"] == x]["n"].sum()) for x in langs]
+    # A language counts by all its rows, of which the sample has a share.
+    counts = [grams[0][grams[0]["lang"] == x]["n"].sum() / rates[x] for x in langs]
     prior = np.log((np.array(counts, np.float64) + 1) / (sum(counts) + len(langs))) if langs else np.zeros(0)
     return Model(langs, _scores(top, "word", langs), [_scores(g, "gram", langs) for g in grams], prior.astype(np.float32))
 

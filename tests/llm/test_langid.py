@@ -32,3 +32,15 @@ def test_odd_rows(docs, odd, empty):
     assert identify(empty, model).count() == 0
     none = fit(empty)
     assert none.langs == [] and {r["lang_pred"] for r in identify(odd, none).collect()} == {"und"}
+
+
+def test_a_rare_language_is_learnt_whole(spark, monkeypatch):
+    from lodestone.llm import langid
+
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 200)
+    rows = [(i, "the words of that common tongue " * 2, "en") for i in range(20000)] + [(10**6 + i, "zut voici quelques mots rares", "fr") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.langs == ["en", "fr"] and model.prior[0] - model.prior[1] > 8
+    got = langid.identify(docs.where("lang = 'fr'"), model).collect()
+    assert len(got) == 2 and {r["lang_pred"] for r in got} == {"fr"}
