@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset and one machine runs all tasks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = spark.conf.get("spark.lodestone.shared.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
     spark.conf.set("spark.lodestone.shared.dir", own)
     return own
@@ -40,8 +42,15 @@ class Stage:
         schema = self.spark.read.parquet(path).schema if partition_by else df.schema
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, number: int | None = None) -> None:
+    @property
+    def last(self) -> int:
+        """The number of the table written last."""
+        return self._n
+
+    def drop(self, *numbers: int) -> None:
+        """Delete tables that no later reader needs; without numbers, all."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.path if number is None else f"{self.path}/{number}")
-        path.getFileSystem(conf).delete(path, True)
+        for place in [f"{self.path}/{n}" for n in numbers] or [self.path]:
+            path = jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(conf).delete(path, True)

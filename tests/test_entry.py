@@ -15,7 +15,7 @@ def test_the_rest_works_without_the_training_data_subpackage(monkeypatch):
 
     def no_llm(name, *args, **kwargs):
         if name.startswith(("lodestone.llm", "corpus_pipeline")):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *args, **kwargs)
 
     monkeypatch.setattr(builtins, "__import__", no_llm)
