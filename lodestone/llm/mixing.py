@@ -6,6 +6,9 @@ next to 2**31 divided by the golden ratio), which falls into one source's interv
 cumulative weights; the slot's rank among its source's slots names the block that it takes,
 round and round. Any stretch of the schedule so holds each source close to its weight.
 
+Blocks have about ``BLOCK_WORDS`` words at every size of the corpus, so schedule and blocks grow
+with it in step.
+
 Scale: offsets within a source and ranks within the schedule are sums over hash buckets and
 over chunks of slots first, then over rows within one bucket or chunk, so that a source with a
 third of all rows is never ordered in one task. The driver sees one row per source.
@@ -22,6 +25,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 RING = 2**31
 GOLDEN = 1327217885
 BINS = 2048
+#: Words in a block, and hash buckets of a source's documents.
+BLOCK_WORDS = 64
+BUCKET_BITS = 16
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> list[float]:
@@ -51,15 +57,17 @@ def mix_sources(
     source_col: str = "source",
     weights: tuple[float, ...] = (5, 2, 1),
     most: int = 3,
-    block_words: int | None = None,
+    block_words: int = BLOCK_WORDS,
     seed: int = 17,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: id, ``size``, ``source_size``, ``target``, ``taken``.
+    """One row per document: id, ``size``, ``source_size``, ``target``, ``taken``, and ``row_col`` if given.
 
     ``size`` counts the words of the whole text (null text: 0). Sources are ordered by code
-    point, null last, and weigh ``weights`` in turn. Null ids are ordered like any other
-    value; repeated rows count as rows of their own. Documents without words take 0; an
-    empty table gives an empty result.
+    point, null last, and weigh ``weights`` in turn. Documents of a source are put in the order
+    of a hash of id and text; null ids are a value like others, and repeated rows count as rows
+    of their own. Documents without words take 0; an empty table gives an empty result.
+    ``row_col`` names a column that tells rows apart, which the result then carries.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "mixing")
@@ -67,6 +75,8 @@ def mix_sources(
         docs.select(
             F.monotonically_increasing_id().alias("m_row"),
             F.col(id_col).alias("m_id"),
+            (F.col(row_col) if row_col else F.lit(None).cast("long")).alias("m_own"),
+            F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
             F.col(source_col).cast("string").alias("m_source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("m_size"),
         )
@@ -75,9 +85,7 @@ def mix_sources(
     totals.sort(key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [t[1] for t in totals]
     goal = targets(sizes, weights, most)
-    total = sum(sizes)
-    block = block_words or max(16, min(1024, total >> 20))
-    blocks = [max(1, round(s / block)) if s else 0 for s in sizes]
+    blocks = [max(1, round(s / block_words)) if s else 0 for s in sizes]
     slots = [g * b / s if s else 0.0 for g, b, s in zip(goal, blocks, sizes)]
     n_slots = round(sum(slots))
 
@@ -127,8 +135,8 @@ def mix_sources(
     )
 
     hashed = sized.join(spec, F.col("m_source").eqNullSafe(F.col("s_source"))).withColumn(
-        "h", F.xxhash64(F.lit(seed), F.col("m_id"))
-    ).withColumn("bucket", F.shiftrightunsigned("h", 52))
+        "bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS)
+    )
     earlier = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         hashed.groupBy("s", "bucket")
@@ -156,7 +164,7 @@ def mix_sources(
     )
     return (
         placed.join(taken, ["s", "block"], "left")
-        .groupBy("m_row", "m_id", "m_size", "source_size", "target")
+        .groupBy("m_row", "m_id", "m_own", "m_size", "source_size", "target")
         .agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
         .select(
             F.col("m_id").alias(id_col),
@@ -164,6 +172,7 @@ def mix_sources(
             "source_size",
             "target",
             "taken",
+            *([F.col("m_own").alias(row_col)] if row_col else []),
         )
     )
 
