@@ -137,11 +137,16 @@ def mix_sources(
     hashed = sized.join(spec, F.col("m_source").eqNullSafe(F.col("s_source"))).withColumn(
         "bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS)
     )
-    earlier = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # Offsets of buckets in two levels of 256, so that no window grows with the corpus or holds a source's buckets at once.
+    sums = hashed.groupBy("s", F.shiftright("bucket", BUCKET_BITS // 2).alias("part"), "bucket").agg(F.sum("m_size").alias("n"))
+    sums = stage.write(sums)
+    low = Window.partitionBy("s", "part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    high = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.groupBy("s", "part").agg(F.sum("n").alias("n")).select("s", "part", F.coalesce(F.sum("n").over(high), F.lit(0)).alias("prior"))
     starts = (
-        hashed.groupBy("s", "bucket")
-        .agg(F.sum("m_size").alias("n"))
-        .select("s", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+        sums.withColumn("own", F.coalesce(F.sum("n").over(low), F.lit(0)))
+        .join(parts, ["s", "part"])
+        .select("s", "bucket", (F.col("prior") + F.col("own")).alias("start"))
     )
     inside = Window.partitionBy("s", "bucket").orderBy("h", "m_id", "m_size", "m_row").rowsBetween(Window.unboundedPreceding, -1)
     # Blocks: the first `extra` have base + 1 words, the others base.
