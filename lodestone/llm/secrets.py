@@ -1,22 +1,31 @@
 """Secret scans over a trigram inverted index, in DataFrame operations only.
 
-The rules' trigram queries name a fixed set of trigrams; the index has a posting (trigram,
-document) for each of them that occurs in a lower-cased text. A rule's candidates are the
-documents whose postings satisfy its Boolean query; each candidate is verified by the rule's
-regular expression over its whole text. A rule without mandatory trigrams scans every text.
-
-Scale: a document has at most one posting for each indexed trigram, combined before the
-shuffle; postings meet documents by document id, one row each, so no key is hot.
+The rules' trigram queries name a fixed set of trigrams. The index has a posting list for each
+trigram and segment: the keys (hashes of the id) of the segment's documents whose lower-cased
+text has the trigram. A rule's Boolean query is answered by intersecting and uniting posting
+lists, segment by segment; each candidate is verified by the rule's regular expression over its
+whole text. A rule without mandatory trigrams scans every text.
+
+Scale: segments hold about ``SEGMENT`` documents, so a posting list is bounded however common
+its trigram is, and lists are combined before their shuffle. Texts are never shuffled while the
+candidates are at most ``BROADCAST_ROWS`` (their number is checked; a key and a bit mask each);
+beyond that they meet by a sort-merge join on the key.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.trigrams import TRUE, trigram_query
+from lodestone.operators.staging import Stage
+
+#: Documents of a segment of the index; the most candidates (16 bytes each) that are broadcast.
+SEGMENT = 4096
+BROADCAST_ROWS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -51,65 +60,71 @@ RULES = BASE + EXTRA
 
 
 def trigram_index(docs: DataFrame, id_col: str, text_col: str, grams: list[str]) -> DataFrame:
-    """Postings ``(gram, id)`` of the given lower-case trigrams."""
-    low = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low"))
+    """Posting lists ``(seg, gram, keys)`` of the given lower-case trigrams.
+
+    A null text has no trigram; null ids have one key in common, and so have rows that share an
+    id, whose postings are pooled. An empty table has no postings.
+    """
+    segments = max(1, -(-docs.count() // SEGMENT))
+    low = docs.select(F.xxhash64(id_col).alias("key"), F.lower(F.col(text_col)).alias("low"))
     found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
-    return low.select("id", F.explode(found).alias("gram"))
+    postings = low.select("key", F.explode(found).alias("gram"))
+    return postings.groupBy(F.pmod("key", F.lit(segments)).alias("seg"), "gram").agg(F.collect_set("key").alias("keys"))
 
 
 def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Per document that satisfies any rule's query: id and one Boolean column ``r<i>`` a rule."""
-    have = index.groupBy("id").agg(F.collect_set("gram").alias("have"))
+    """``(c_key, mask)``: per key that satisfies any rule's query the bits of those rules.
+
+    Within a segment an AND intersects posting lists and an OR unites them; a trigram without
+    a list in the segment has none of its documents.
+    """
+    lists = index.groupBy("seg").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("lists"))
+    none = F.expr("cast(array() as array<bigint>)")
 
     def holds(rule: Rule) -> Column:
-        out = F.lit(False)
+        sides = []
         for grams in trigram_query(rule.pattern):
-            both = F.lit(True)
-            for g in sorted(grams):
-                both = both & F.array_contains("have", g)
-            out = out | both
-        return out
+            own = [F.coalesce(F.try_element_at("lists", F.lit(g)), none) for g in sorted(grams)]
+            sides.append(reduce(F.array_intersect, own))
+        return reduce(F.array_union, sides)
 
-    flags = [holds(r).alias(f"r{i}") for i, r in enumerate(rules)]
-    any_of = F.lit(False)
-    for i in range(len(rules)):
-        any_of = any_of | F.col(f"r{i}")
-    return have.select(F.col("id").alias("c_id"), *flags).where(any_of)
+    def marked(keys: Column, bit: int) -> Column:
+        return F.transform(keys, lambda k: F.struct(k.alias("c_key"), F.lit(bit).cast("long").alias("bit")))
+
+    bits = [marked(holds(r), 1 << i) for i, r in enumerate(rules)]
+    return lists.select(F.explode(F.concat(*bits)).alias("c")).groupBy("c.c_key").agg(F.expr("bit_or(c.bit)").alias("mask"))
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end, kind); code points, end exclusive.
 
-    Pieces between the matches and the matches themselves add up to the positions.
+    A match ends where the lengths of the matches and of the pieces before them add up to.
+    These sums are made by doubling: each step adds the sums that stand 1, 2, 4 ... places
+    before, so that n matches take n log n additions and no array grows element by element.
     """
-    found = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group)) if rule.group else found
-    parts = F.arrays_zip(F.split(text, rule.java, -1).alias("gap"), found.alias("hit"), kept.alias("key"))
-    walk = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(
-                x["hit"].isNotNull() & (F.length(x["key"]) >= rule.least),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["gap"])).alias("start"),
-                            F.lit(order).alias("ord"),
-                            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                            F.lit(rule.kind).alias("kind"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return walk
+    sizes = lambda a: F.transform(a, lambda x: F.length(x))
+    hits = sizes(F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)))
+    keys = sizes(F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group))) if rule.group else F.expr("cast(array() as array<int>)")
+    gaps = sizes(F.split(text, rule.java, -1))
+
+    def shifted(acc: Column, k: Column) -> Column:
+        shift = F.least(F.call_function("shiftleft", F.lit(1), k - 1), F.size(acc))
+        return F.concat(F.array_repeat(F.lit(0), shift), F.slice(acc, F.lit(1), F.size(acc) - shift))
+
+    def spans(x: Column) -> Column:
+        pieces = F.zip_with(F.slice(x["gap"], F.lit(1), F.size(x["hit"])), x["hit"], lambda a, b: a + b)
+        ends = F.aggregate(
+            F.sequence(F.lit(1), F.length(F.bin(F.size(x["hit"])))), pieces, lambda acc, k: F.zip_with(acc, shifted(acc, k), lambda a, b: a + b)
+        )
+        zipped = F.arrays_zip(ends.alias("end"), x["hit"].alias("hit"), (x["key"] if rule.group else x["hit"]).alias("key"))
+        return F.transform(
+            F.filter(zipped, lambda y: y["key"] >= rule.least),
+            lambda y: F.struct((y["end"] - y["hit"]).alias("start"), F.lit(order).alias("ord"), y["end"].alias("end"), F.lit(rule.kind).alias("kind")),
+        )
+
+    # As an element of an array the lengths are computed once, wherever they are used.
+    once = F.array(F.struct(hits.alias("hit"), keys.alias("key"), gaps.alias("gap")))
+    return F.element_at(F.transform(once, spans), 1)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -117,20 +132,23 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Starts and ends count code points, ends are exclusive. A null text is an empty one and has
     no spans. Rows with a null or repeated id are scanned on their own text; the postings of
-    one id are pooled, which can only add candidates. Columns besides id and text are ignored.
+    one id are pooled, which can only add candidates. Columns besides id and text are ignored;
+    an empty table gives an empty result.
     """
+    stage = Stage(docs.sparkSession, "secrets")
     indexed = [r for r in rules if trigram_query(r.pattern) != TRUE]
     grams = sorted({g for r in indexed for q in trigram_query(r.pattern) for g in q})
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if indexed:
-        flags = candidates(trigram_index(docs, id_col, text_col, grams), indexed)
-        rows = rows.join(flags, rows["id"].eqNullSafe(flags["c_id"]), "left")
+        found = stage.write(candidates(trigram_index(docs, id_col, text_col, grams), indexed))
+        small = found.count() <= BROADCAST_ROWS
+        rows = rows.join(F.broadcast(found) if small else found, F.col("key") == F.col("c_key"), "left")
     empty = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)")
     text, lists = F.col("text"), []
     for order, rule in enumerate(rules):
         test = F.rlike(text, F.lit(rule.java))
         if rule in indexed:
-            test = F.coalesce(F.col(f"r{indexed.index(rule)}"), F.lit(False)) & test
+            test = (F.coalesce("mask", F.lit(0)).bitwiseAND(1 << indexed.index(rule)) != 0) & test
         lists.append(F.when(test, _spans(text, rule, order)).otherwise(empty))
     return rows.select(F.col("id").alias(id_col), F.array_sort(F.concat(*lists)).alias("found"))
 

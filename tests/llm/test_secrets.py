@@ -1,7 +1,8 @@
 import hashlib
 import re
 
-from lodestone.llm.secrets import EXTRA, RULES, op6_secret_scan, scan_secrets
+from lodestone.llm import secrets
+from lodestone.llm.secrets import EXTRA, RULES, candidates, op6_secret_scan, scan_secrets, trigram_index
 from lodestone.llm.trigrams import TRUE, satisfied, trigram_query
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -74,3 +75,42 @@ def test_trigram_queries_never_miss():
     assert trigram_query(RULES[2].pattern) == TRUE
     assert trigram_query(RULES[0].pattern) != TRUE and len(EXTRA) == 4
     assert trigram_query("(abc|xy)d+efg") == [frozenset({"efg", "abc"}), frozenset({"efg"})][1:]
+
+
+def test_posting_lists_answer_the_boolean_queries(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SEGMENT", 5)
+    texts = ["xabcx", "xabc efgx", "efg", "xyd efg", "", None, "ABCd efg"] * 4
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = [secrets.Rule("a", "(abc|xy)d*efg"), secrets.Rule("b", "abc")]
+    index = trigram_index(rows, "doc_id", "text", ["abc", "efg"])
+    lists = index.collect()
+    assert len({r["seg"] for r in lists}) > 1 and {r["gram"] for r in lists} == {"abc", "efg"}
+    assert len({(r["seg"], r["gram"]) for r in lists}) == len(lists)
+    key = {r[0]: r[1] for r in rows.selectExpr("xxhash64(doc_id)", "doc_id").collect()}
+    got = {key[r["c_key"]]: r["mask"] for r in candidates(index, rules).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        grams = {(t or "").lower()[j : j + 3] for j in range(len(t or ""))}
+        mask = sum(satisfied(trigram_query(r.pattern), grams) << k for k, r in enumerate(rules))
+        if mask:
+            want[i] = mask
+    assert got == want
+
+
+def test_many_candidates_join_without_a_broadcast(spark, docs, monkeypatch):
+    want = sorted(map(str, scan_secrets(docs).collect()))
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, scan_secrets(docs).collect())) == want
+
+
+def test_a_text_with_very_many_hits_takes_linear_time(spark):
+    import time
+
+    hits = 400_000
+    text = "0123456789abcdef01234567 " * hits
+    frame = spark.createDataFrame([(1, text), (2, "token=abcdef")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["found"] for r in scan_secrets(frame).collect()}
+    assert time.time() - began < 90
+    assert [(x["start"], x["end"]) for x in got[1]] == [(25 * i, 25 * i + 24) for i in range(hits)]
+    assert len(got[2]) == 1
