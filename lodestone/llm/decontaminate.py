@@ -9,6 +9,14 @@ verified by banded alignment.
 Texts are compared in lower case with each run of white space as one space. The q-grams are of
 characters folded to a byte each; folding can only add candidates.
 
+Of a q-gram that text and item have very often (runs of one character, short periods) the pairs
+of places are not listed: their diagonals are counted by a convolution, window by window; other
+pairs are listed ``SLICE`` at a time and added up by band.
+
+An item is found where all of it lies in a text, but for the edits allowed: a tenth of its
+characters, fewer in items of under about 75 characters, where the lemma would ask for no shared
+q-gram otherwise, none in items of under ``2 q - 1``.
+
 Scale: items come in blocks of at most ``BLOCK_CHARACTERS``, each broadcast and matched against
 all documents in one narrow pass, so no document is shuffled and no broadcast grows.
 """
@@ -30,6 +38,10 @@ Q = 8
 EDIT_SHARE = 0.1
 BLOCK_CHARACTERS = 4_000_000
 TABLE_BITS = 22
+#: Pairs of places listed at a time; pairs of one q-gram and item from which on they are convolved; places in a window.
+SLICE = 1 << 21
+DENSE = 1 << 21
+WINDOW = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: White space, as ``str.split`` has it.
 SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
@@ -112,6 +124,51 @@ def align(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int]
     return edits, end - length, end
 
 
+class Tally:
+    """Counts by key, kept small by adding up equal keys."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        keys, inverse, own = np.unique(keys, return_inverse=True, return_counts=True)
+        if counts is not None:
+            own = np.bincount(inverse, counts, len(keys)).astype(np.int64)
+        self.parts.append((keys, own))
+        self.held += len(keys)
+        if self.held > 2 * SLICE and len(self.parts) > 1:
+            self.parts = [self.total()]
+            # Distinct keys stay; the next sum waits until as many again have come.
+            self.held = max(0, len(self.parts[0][0]) - SLICE)
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        keys, inverse = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        return keys, np.bincount(inverse, np.concatenate([c for _, c in self.parts]), len(keys)).astype(np.int64)
+
+
+def diagonals(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The differences a - b of two sets of places, and how often each one occurs, by a convolution."""
+    left, right = np.zeros(int(a.max() - a.min()) + 1), np.zeros(int(b.max() - b.min()) + 1)
+    left[a - a.min()] = 1
+    right[b.max() - b] = 1
+    size = len(left) + len(right) - 1
+    full = 1 << (size - 1).bit_length()
+    counts = np.rint(np.fft.irfft(np.fft.rfft(left, full) * np.fft.rfft(right, full), full)[:size]).astype(np.int64)
+    at = np.flatnonzero(counts)
+    return at + int(a.min()) - int(b.max()), counts[at]
+
+
+def windows(x: np.ndarray) -> Iterator[np.ndarray]:
+    """Sorted places in parts that each span ``WINDOW`` at most."""
+    while len(x):
+        end = int(np.searchsorted(x, x[0] + WINDOW))
+        yield x[:end]
+        x = x[end:]
+
+
 class Matcher:
     """The q-gram index of one block of items."""
 
@@ -149,11 +206,35 @@ class Matcher:
         found = code[hit]
         lo = np.searchsorted(self.codes, found, "left")
         n = np.searchsorted(self.codes, found, "right") - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item = self.owner[at]
-        half = np.floor_divide(np.repeat(hit, n) - self.place[at], self.k[item] + 1)
+        hit, found, lo, n = (x[n > 0] for x in (hit, found, lo, n))
+        tally = Tally()
+        _, which, times = np.unique(found, return_inverse=True, return_counts=True)
+        dense = times[which] * n >= DENSE
         # Half bands are counted once and added to their neighbour; the gap keeps items apart.
-        keys, counts = np.unique((item << 40) + half + (1 << 32), return_counts=True)
+        key = lambda item, diagonal: (item << 40) + np.floor_divide(diagonal, self.k[item] + 1) + (1 << 32)
+        for a, size, place in self._slices(lo[~dense], n[~dense], hit[~dense]):
+            at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+            tally.add(key(self.owner[at], np.repeat(place, size) - self.place[at]))
+        order = np.flatnonzero(dense)[np.argsort(which[dense], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate([[True], which[order][1:] != which[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            places, first, size = hit[order[x:y]], int(lo[order[x]]), int(n[order[x]])
+            owners = self.owner[first : first + size]
+            # Postings of a code are in the order of items, then places.
+            heads = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1], [True]]))
+            for c, d in zip(heads[:-1].tolist(), heads[1:].tolist()):
+                item, own = int(owners[c]), self.place[first + c : first + d]
+                if len(places) * len(own) < DENSE:
+                    step = max(1, SLICE // len(own))
+                    for i in range(0, len(places), step):
+                        far = (places[i : i + step, None] - own[None, :]).ravel()
+                        tally.add(key(np.full(len(far), item), far))
+                    continue
+                for a in windows(places):
+                    for b in windows(own):
+                        far, counts = diagonals(a, b)
+                        tally.add(key(np.full(len(far), item), far), counts)
+        keys, counts = tally.total()
         both = np.concatenate([keys, keys - 1])
         sums = np.concatenate([counts, np.zeros_like(counts)])
         place = np.searchsorted(keys, both + 1)
@@ -163,6 +244,15 @@ class Matcher:
         kept = np.unique(both[sums >= self.need[both >> 40]]) if len(keys) else both
         return kept >> 40, (kept & ((1 << 40) - 1)) - (1 << 32)
 
+    @staticmethod
+    def _slices(lo: np.ndarray, n: np.ndarray, hit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The hits in parts of about ``SLICE`` pairs, one hit at least."""
+        ends, start = np.cumsum(n), 0
+        while start < len(n):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, "right")))
+            yield lo[start:stop], n[start:stop], hit[start:stop]
+            start = stop
+
     def __call__(self, texts: list[str]) -> list[tuple]:
         """(number of the text, item id, start, end, edits) of the best place of each item in each text; places in code points."""
         parts = [folded(t) for t in texts]
