@@ -1,13 +1,16 @@
 """Token ids in Arrow files of equal-length sequences.
 
-Documents in id order are encoded, ended by one id each and laid end to end; each shard (one
-range of ids) is an Arrow IPC file whose record batches hold ``ids`` and ``mask`` as
-fixed-size lists, so that sequence ``k`` is row ``k mod R`` of batch ``k div R`` and is read
-from a memory map without a copy. ``docs`` lists the documents that start in a sequence.
+Documents in id order are encoded, ended by one id each and laid end to end. A shard (one
+range of ids) is a row of Arrow IPC files; the record batches of a file hold nothing but ``ids``
+and ``mask`` as fixed-size lists, all batches but the last with as many rows, so that sequence
+``k`` is row ``k mod R`` of batch ``k div R`` and is read from a memory map without a copy.
+Beside each file a second one of the same kind lists its documents: id, start in the file, length.
 
 Scale: ids are dealt by range, so that shards follow one another; a task streams its shard and
-holds one batch of sequences. Files get their names by rename, and a task that runs again
-writes the same bytes. The only thing put in order in one place is one row per shard.
+holds one batch of sequences. A file ends with the document that brings it to ``FILE_TOKENS``,
+so however many tokens a shard has, a file has at most those and one document. Files are read by
+batch, one task a file. They get their names by rename, and a task that runs again writes the
+same bytes. The only thing put in order in one place is one row per file.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ from lodestone.operators.staging import Stage
 
 SEQUENCE = 1024
 BATCH_ROWS = 256
+#: Tokens from which on a file is closed.
+FILE_TOKENS = 1 << 26
+#: Most tasks that read files.
+READERS = 10_000
 
 #: Beyond these characters libraries can disagree on what is a letter, a number or a space.
 ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ԯ]")
@@ -142,81 +149,99 @@ def encoder_for(path: str) -> Encoder:
 
 
 def file_schema(dtype: np.dtype, length: int) -> pa.Schema:
-    return pa.schema(
-        [
-            ("ids", pa.list_(pa.from_numpy_dtype(dtype), length)),
-            ("mask", pa.list_(pa.bool_(), length)),
-            ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int64())]))),
-        ]
-    )
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
+
 
+DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 
-class _Shard:
-    """Streams documents into one file; nothing is created for a shard without documents."""
 
-    def __init__(self, folder: str, number: int, attempt: int, dtype: np.dtype, length: int):
+class _File:
+    """Streams documents into a file and its list of documents."""
+
+    def __init__(self, folder: str, name: str, attempt: int, dtype: np.dtype, length: int):
         self.fs, root = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(root, recursive=True)
-        self.path, self.own = f"{root}/shard-{number:06d}.arrow", f"{root}/.shard-{number:06d}.{attempt}"
-        self.dtype, self.length, self.schema = dtype, length, file_schema(dtype, length)
+        self.names = [(f"{root}/.{kind}-{name}.{attempt}", f"{root}/{kind}-{name}.arrow") for kind in ("docs", "shard")]
+        self.dtype, self.length = dtype, length
+        schemas = (DOCS, file_schema(dtype, length))
+        self.streams = [self.fs.open_output_stream(own) for own, _ in self.names]
+        self.writers = [pa.ipc.new_file(stream, schema) for stream, schema in zip(self.streams, schemas)]
         self.parts: list[np.ndarray] = []
-        self.held = 0
-        self.docs: list[tuple] = []  # (position in the shard, id, number of tokens)
-        self.written = 0
-        self.stream = self.writer = None
+        self.held = self.written = self.n_docs = 0
+        self.docs: list[tuple] = []  # (id, start in the file, number of tokens)
+
+    @property
+    def tokens(self) -> int:
+        return self.written + self.held
 
     def add(self, doc_id, ids: np.ndarray) -> None:
-        self.docs.append((self.written + self.held, doc_id, len(ids)))
+        self.docs.append((doc_id, self.tokens, len(ids)))
         self.parts.append(ids)
         self.held += len(ids)
+        self.n_docs += 1
         if self.held >= self.length * BATCH_ROWS:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        if self.writer is None:
-            self.stream = self.fs.open_output_stream(self.own)
-            self.writer = pa.ipc.new_file(self.stream, self.schema)
         flat = np.concatenate(self.parts) if self.parts else np.empty(0, self.dtype)
-        step = self.length * BATCH_ROWS
-        at = 0
+        step, at = self.length * BATCH_ROWS, 0
         while len(flat) - at >= step or (last and at < len(flat)):
             piece = flat[at : at + step]
             rows = -(-len(piece) // self.length)
             ids = np.zeros(rows * self.length, self.dtype)
             ids[: len(piece)] = piece
             mask = np.arange(rows * self.length) < len(piece)
-            lists: list[list] = [[] for _ in range(rows)]
-            taken = 0
-            for pos, doc_id, n in self.docs:
-                if pos >= self.written + step:
-                    break
-                k, off = divmod(pos - self.written, self.length)
-                lists[k].append({"doc_id": doc_id, "at": off, "n": n})
-                taken += 1
-            del self.docs[:taken]
-            self.writer.write_batch(
+            self.writers[1].write_batch(
                 pa.record_batch(
-                    [
-                        pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length),
-                        pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length),
-                        pa.array(lists, self.schema.field("docs").type),
-                    ],
-                    schema=self.schema,
+                    [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)],
+                    schema=file_schema(self.dtype, self.length),
                 )
             )
             self.written += len(piece)
             at += step
         self.parts = [flat[at:]] if at < len(flat) else []
         self.held = max(0, len(flat) - at)
+        if self.docs:
+            self.writers[0].write_batch(pa.record_batch([pa.array(c, pa.int64()) for c in zip(*self.docs)], schema=DOCS))
+            self.docs = []
 
-    def close(self) -> int:
-        if self.writer is None and not self.docs:
-            return 0
+    def close(self) -> None:
         self._flush(True)
-        self.writer.close()
-        self.stream.close()
-        self.fs.move(self.own, self.path)
-        return self.written
+        for writer, stream, (own, name) in zip(self.writers, self.streams, self.names):
+            writer.close()
+            stream.close()
+            self.fs.move(own, name)
+
+
+def _open(uri: str) -> pa.ipc.RecordBatchFileReader:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    return pa.ipc.open_file(pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path))
+
+
+class TokenFile:
+    """Random access to a file: its sequences, and the ids from any place on; views, where a memory map holds it."""
+
+    def __init__(self, uri: str):
+        self.reader = _open(uri)
+        self.length = self.reader.schema.field("ids").type.list_size
+        self.rows = self.reader.get_batch(0).num_rows if self.reader.num_record_batches else 0
+        self.last: tuple[int, np.ndarray] = (-1, np.empty(0))
+
+    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and mask of one sequence."""
+        batch, row = self.reader.get_batch(k // self.rows), k % self.rows
+        return batch.column("ids")[row].values.to_numpy(), batch.column("mask")[row].values.to_numpy(zero_copy_only=False)
+
+    def pieces(self, start: int, n: int) -> Iterator[np.ndarray]:
+        """``n`` ids from a place on, batch by batch."""
+        step = self.rows * self.length
+        while n > 0:
+            i, at = divmod(start, step)
+            if self.last[0] != i:
+                self.last = (i, self.reader.get_batch(i).column("ids").flatten().to_numpy())
+            piece = self.last[1][at : at + n]
+            yield piece
+            start, n = start + len(piece), n - len(piece)
 
 
 def write_token_files(
@@ -227,8 +252,9 @@ def write_token_files(
     text_col: str = "text",
     end_id: int = 0,
     length: int = SEQUENCE,
+    file_tokens: int = FILE_TOKENS,
 ) -> DataFrame:
-    """Write the shards into ``folder`` (a URI that every executor reaches); returns one row per shard.
+    """Write the files into ``folder`` (a URI that every executor reaches); returns one row per file.
 
     A null text is an empty one and has the end id alone. Documents are ordered by id, null
     first, then by the text's hash and text; repeated rows are written as often as they occur. An empty table writes
@@ -238,17 +264,27 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         encoder = encoder_for(vocabulary)
-        shard = _Shard(folder, context.partitionId(), context.taskAttemptId(), encoder.dtype, length)
         end = np.array([end_id], encoder.dtype)
-        n_docs = 0
+        number, part, file = context.partitionId(), 0, None
+
+        def finish() -> pa.RecordBatch:
+            file.close()
+            row = {"shard": number, "part": part, "file": f"{folder}/shard-{name(part)}.arrow", "n_docs": file.n_docs, "n_tokens": file.tokens}
+            return pa.RecordBatch.from_pylist([row])
+
+        def name(part: int) -> str:
+            return f"{number:06d}-{part:04d}"
+
         for batch in slices(batches, "text", 2 << 20):
             ids = batch.column("id").to_pylist()
             for doc_id, got in zip(ids, encoder(batch.column("text").to_pylist())):
-                shard.add(doc_id, np.concatenate([got, end]))
-            n_docs += len(ids)
-        tokens = shard.close()
-        if n_docs:
-            yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "n_docs": [n_docs], "n_tokens": [tokens]})
+                file = file or _File(folder, name(part), context.taskAttemptId(), encoder.dtype, length)
+                file.add(doc_id, np.concatenate([got, end]))
+                if file.tokens >= file_tokens:
+                    yield finish()
+                    file, part = None, part + 1
+        if file is not None:
+            yield finish()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     # The range bounds are sampled from ids and hashes; texts decide among equal hashes only.
@@ -256,58 +292,46 @@ def write_token_files(
         rows.repartitionByRange("id", "h")
         .sortWithinPartitions("id", "h", "text")
         .select("id", "text")
-        .mapInArrow(encode, "shard long, n_docs long, n_tokens long")
+        .mapInArrow(encode, "shard long, part long, file string, n_docs long, n_tokens long")
     )
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document in the files: shard, id, ``start`` in the shard, ``n_tokens``, ``ids_crc32``."""
+def read_token_files(files: DataFrame) -> DataFrame:
+    """Per document in the files (``shard``, ``part``, ``file``): shard, part, id, ``start`` in the file, ``n_tokens``, ``ids_crc32``."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                reader = pa.ipc.open_file(pa.py_buffer(content.as_buffer()))
-                shard = int(re.search(r"shard-(\d+)\.arrow$", path)[1])
-                flat, docs = [], []
-                base = 0
-                for i in range(reader.num_record_batches):
-                    part = reader.get_batch(i)
-                    length = part.schema.field("ids").type.list_size
-                    used = int(np.count_nonzero(part.column("mask").flatten().to_numpy(zero_copy_only=False)))
-                    flat.append(part.column("ids").flatten().to_numpy()[:used])
-                    for k, own in enumerate(part.column("docs").to_pylist()):
-                        docs += [(d["doc_id"], base + k * length + d["at"], d["n"]) for d in own]
-                    base += used
-                tokens = np.concatenate(flat) if flat else np.empty(0, np.uint16)
-                for i in range(0, len(docs), 10000):
-                    some = docs[i : i + 10000]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "shard": pa.array([shard] * len(some), pa.int64()),
-                            "id": pa.array([d[0] for d in some], pa.int64()),
-                            "start": pa.array([d[1] for d in some], pa.int64()),
-                            "n_tokens": pa.array([d[2] for d in some], pa.int64()),
-                            "ids_crc32": pa.array(
-                                [zlib.crc32(tokens[d[1] : d[1] + d[2]].astype("<u4").tobytes()) for d in some], pa.int64()
-                            ),
-                        }
+            for shard, part, uri in zip(*(batch.column(c).to_pylist() for c in ("shard", "part", "file"))):
+                tokens = TokenFile(uri)
+                listed = _open(uri.replace("/shard-", "/docs-"))
+                for i in range(listed.num_record_batches):
+                    docs = listed.get_batch(i)
+                    sums = []
+                    for start, n in zip(docs.column("start").to_pylist(), docs.column("n").to_pylist()):
+                        crc = 0
+                        for piece in tokens.pieces(start, n):
+                            crc = zlib.crc32(piece.astype("<u4"), crc)
+                        sums.append(crc)
+                    own = [pa.array([x] * len(sums), pa.int64()) for x in (shard, part)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*own, *docs.columns, pa.array(sums, pa.int64())], names=["shard", "part", "id", "start", "n_tokens", "ids_crc32"]
                     )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.arrow").load(folder).select("path", "content")
-    return files.mapInArrow(decode, "shard long, id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("shard", "part", "file").mapInArrow(decode, "shard long, part long, id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", **more) -> DataFrame:
     """Write the files, read them back: id, ``start`` over all shards, ``n_tokens``, ``ids_crc32``."""
     spark = docs.sparkSession
-    shards = Stage(spark, "token-shards").write(write_token_files(docs, folder, vocabulary, id_col, **more))
-    if shards.isEmpty():
+    files = Stage(spark, "token-shards").write(write_token_files(docs, folder, vocabulary, id_col, **more))
+    count = files.count()
+    if not count:
         return spark.createDataFrame([], f"{id_col} long, start long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = files.select("shard", "part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     return (
-        read_token_files(spark, folder)
-        .join(bases, "shard")
+        read_token_files(files.repartition(min(count, READERS)))
+        .join(bases, ["shard", "part"])
         .select(F.col("id").alias(id_col), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
     )
 

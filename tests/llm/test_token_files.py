@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import lodestone.llm.token_files as token_files_module
-from lodestone.llm.token_files import Encoder, token_files, write_token_files
+from lodestone.llm.token_files import Encoder, TokenFile, token_files, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -41,7 +41,7 @@ def test_files_have_fixed_size_lists(docs, tmp_path):
     for f in files:
         with pa.memory_map(f) as source:
             table = pa.ipc.open_file(source).read_all()
-        assert table.schema.field("ids").type == pa.list_(pa.uint16(), 64)
+        assert table.schema == pa.schema([("ids", pa.list_(pa.uint16(), 64)), ("mask", pa.list_(pa.bool_(), 64))])
         total += sum(map(sum, table.column("mask").to_pylist()))
     assert total == sum(s["n_tokens"] for s in shards)
 
@@ -71,3 +71,30 @@ def test_encoder_on_random_texts(plain, monkeypatch):
         texts = ["".join(rng.choices("ab'sté1²_. \n\t", k=rng.randint(0, 60))) for _ in range(20)]
         for text, got in zip(texts, encoder(texts)):
             assert got.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_files_have_a_limit_and_random_access(docs, plain, tmp_path):
+    rows = docs.limit(120).collect()
+    frame = docs.sparkSession.createDataFrame(rows, docs.schema).select("doc_id", "text")
+    got = sorted(map(tuple, token_files(frame, f"file://{tmp_path}/r", PATH, length=16, file_tokens=3000).collect()), key=str)
+    want = brute(rows, plain)
+    assert got == want
+    files = sorted(glob.glob(f"{tmp_path}/r/shard-*.arrow"))
+    ids = {r["doc_id"]: [*plain.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in rows}
+    assert len(files) > 8
+    allocated = pa.total_allocated_bytes()
+    for f in files:
+        tokens = TokenFile(f"file://{f}")
+        with pa.memory_map(f.replace("shard-", "docs-")) as source:
+            listed = pa.ipc.open_file(source).read_all().to_pylist()
+        assert sum(d["n"] for d in listed[:-1]) < 3000
+        for d in listed:
+            assert np.concatenate(list(tokens.pieces(d["start"], d["n"]))).tolist() == ids[d["doc_id"]]
+        flat = [x for d in listed for x in ids[d["doc_id"]]]
+        for k in range(-(-len(flat) // 16)):
+            own, mask = tokens.sequence(k)
+            assert own[mask].tolist() == flat[16 * k : 16 * k + 16]
+    first = TokenFile(f"file://{files[0]}")
+    view, _ = first.sequence(0)
+    # A view on the mapped file owns no memory.
+    assert not view.flags.owndata and pa.total_allocated_bytes() - allocated < 1 << 20
