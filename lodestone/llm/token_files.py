@@ -21,7 +21,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +52,23 @@ def _characters(kind: str) -> str:
 _L, _N, _S = _characters("L"), _characters("N"), r"\t\n\x0b\x0c\r \x85\xa0"
 #: The published pattern of byte-level BPE pre-tokenization for texts that ``ODD`` does not match, the commonest case first.
 BYTE_LEVEL = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: Pieces in a cache, about 200 bytes each; a full cache is emptied.
+#: Pieces in a cache, about 150 bytes each; a full cache keeps those that came again since it was last full.
 CACHE_PIECES = 250_000
 
 
+class Pieces(dict):
+    """Numbers of pieces as they come; ``known`` lists them."""
+
+    def __init__(self, known: list[str]):
+        super().__init__(zip(known, range(len(known))))
+        self.known = known
+
+    def __missing__(self, piece: str) -> int:
+        out = self[piece] = len(self.known)
+        self.known.append(piece)
+        return out
+
+
 class Encoder:
     """Ids of whole texts, exactly as the library's ``encode(text, add_special_tokens=False)``.
 
@@ -82,59 +94,87 @@ class Encoder:
         self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
         self.after_space[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
         self.line = vocabulary.get("\u010a")
-        self.cache: dict[str, bytes] = {}
-
-    def _cut(self, pieces: list[str], ids: np.ndarray, heads: np.ndarray, skip: int) -> None:
-        raw, size = ids.tobytes(), self.dtype.itemsize
-        ends = [*(heads * size).tolist(), len(raw) + skip * size]
-        if len(heads) != len(pieces):
+        self._keep(np.empty(0, np.int64))
+
+    def _keep(self, numbers: np.ndarray) -> None:
+        """Forget all pieces but these."""
+        pieces = Pieces([self.pieces.known[i] for i in numbers.tolist()] if len(numbers) else [])
+        flat, start, size = (self._ids(numbers), *self.places[:, numbers]) if len(numbers) else (np.empty(0, self.dtype), *np.zeros((2, 0), np.int64))
+        self.pieces, self.flat, self.used = pieces, flat, len(flat)
+        self.places = np.stack([np.cumsum(size) - size, size])  # start and length of each piece's ids
+        self.hits = np.zeros(len(numbers), np.int64)
+
+    def _put(self, numbers: list[int], ids: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> None:
+        if len(heads) != len(numbers):
             raise ValueError("pieces and words differ")
-        stops = [x - skip * size for x in ends[1:]]
-        self.cache.update(zip(pieces, map(raw.__getitem__, map(slice, ends[:-1], stops))))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat) // 2, len(ids)), self.dtype)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.places[0, numbers] = self.used + heads
+        self.places[1, numbers] = sizes
+        self.used += len(ids)
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.fromiter(got.ids, self.dtype, len(got))
 
-    def _learn(self, new: set[str]) -> None:
-        """Cache the ids of pieces. Words are encoded many to a text, where they stay pieces of their own: those after
-        a space end to end, as a token that starts with the space starts a word, others a line each."""
-        step = 2000
-        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+    def _learn(self, first: int) -> None:
+        """Encode the pieces from a number on. Words are encoded many to a text, where they stay pieces of their own: those
+        after a space end to end, as a token that starts with the space starts a word, others a line each."""
+        known, step = self.pieces.known, 2000
+        new = np.zeros((2, len(known) - first), np.int64)
+        self.places = np.concatenate([self.places, new], axis=1)
+        self.hits = np.concatenate([self.hits, new[0]])
+        words, lines, rest = [], [], []
+        for i in range(first, len(known)):
+            p = known[i]
+            (lines if self.line is not None and p.isalpha() else words if p[0] == " " and p[1:].isalpha() else rest).append(i)
         parts = [words[i : i + step] for i in range(0, len(words), step)]
-        for part, ids in zip(parts, self._encode(["".join(p) for p in parts])):
-            self._cut(part, ids, np.flatnonzero(self.after_space[ids]), 0)
-        lines = [p for p in new if p.isalpha()] if self.line is not None else []
+        for part, ids in zip(parts, self._encode(["".join([known[i] for i in p]) for p in parts])):
+            heads = np.flatnonzero(self.after_space[ids])
+            self._put(part, ids, heads, np.diff(heads, append=len(ids)))
         parts = [lines[i : i + step] for i in range(0, len(lines), step)]
-        for part, ids in zip(parts, self._encode(["\n".join(p) for p in parts])):
-            self._cut(part, ids, np.append(0, np.flatnonzero(ids == self.line) + 1), 1)
-        rest = [p for p in new if p not in self.cache]
+        for part, ids in zip(parts, self._encode(["\n".join([known[i] for i in p]) for p in parts])):
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            heads = np.append(0, ends[:-1] + 1)
+            self._put(part, ids, heads, ends - heads)
         for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            self.cache.update(zip(part, (ids.tobytes() for ids in self._encode(part))))
+            own = list(self._encode([known[j] for j in rest[i : i + 4096]]))
+            sizes = np.array([len(x) for x in own], np.int64)
+            self._put(rest[i : i + 4096], np.concatenate(own), np.cumsum(sizes) - sizes, sizes)
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these pieces, end to end."""
+        start, size = self.places[:, numbers]
+        return self.flat[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split, seen = [], set()
+        first, get = len(self.pieces), self.pieces.__getitem__
+        split, lengths = [], []
         for text in texts:
             text = text or ""
             if not self.by_piece or ODD.search(text) or any(s in text for s in self.special):
-                split.append(None)
+                lengths.append(-1)
                 continue
             found = BYTE_LEVEL.findall(text)
-            split.append(found)
-            seen.update(found)
-        new = seen - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = seen
-        self._learn(new)
-        out = []
-        for text, found in zip(texts, split):
-            if found is None:
+            split.append(np.fromiter(map(get, found), np.int64, len(found)))
+            lengths.append(len(found))
+        if len(self.pieces) > first:
+            self._learn(first)
+        out, at = [], 0
+        numbers = np.concatenate(split) if split else np.empty(0, np.int64)
+        self.hits += np.bincount(numbers, minlength=len(self.hits))
+        flat = self._ids(numbers)
+        ends = np.append(0, np.cumsum(self.places[1, numbers]))
+        for text, n in zip(texts, lengths):
+            if n < 0:
                 out.append(np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, self.dtype))
             else:
-                ids = itemgetter(*found)(self.cache) if len(found) > 1 else map(self.cache.get, found)
-                out.append(np.frombuffer(b"".join(ids), self.dtype))
+                out.append(flat[ends[at] : ends[at + n]])
+                at += n
+        if len(self.pieces) > CACHE_PIECES:
+            again = np.flatnonzero(self.hits > 1)
+            self._keep(again if len(again) <= CACHE_PIECES * 3 // 4 else again[:0])
         return out
 
 
