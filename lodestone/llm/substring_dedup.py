@@ -7,14 +7,17 @@ take part, so a boundary influences no more than ``context`` words, and the symb
 two equal windows agree beyond that many words from either end.
 
 Each window is anchored at its longest (then highest) inner symbol. A first exchange counts the
-anchors: windows under an anchor that occurs once are unique. A second exchange compares the
-windows under the shared ones by a 64-bit polynomial hash of all their words; windows that have
-a twin are repeats, and the words that they cover are removed.
+anchors: windows under an anchor that occurs once are unique. A second exchange brings the words
+of the windows under shared anchors together: windows that a hash of their words puts together
+are compared word by word, and those with a twin are repeats; the words that they cover are
+removed. Names and hashes only choose what is compared: equal windows always have equal ones,
+and a clash of unequal ones costs a comparison and changes no result.
 
 Scale: exchanges carry packed arrays by bucket. Of a key a task sends two occurrences at most
-and marks its others itself, so that a passage in a third of all documents reaches its reducer
-twice for each task. Marks return by buckets of documents; the exchange of the texts by these
-buckets serves both returns. Buckets follow ``spark.sql.shuffle.partitions``.
+and marks its others itself (windows after comparing them), so that a passage in a third of all
+documents reaches its reducer twice for each task. Marks return by buckets of documents; the
+exchange of the texts by these buckets serves both returns. Buckets follow
+``spark.sql.shuffle.partitions``, which is to grow with the corpus (a gigabyte a partition at most).
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import HashCache, hashes_of, mix64, slices, words_of
+from lodestone.llm.words import CACHE_WORDS, HashCache, hashes_of, mix64, slices, words_of
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 PRIME = 2147483647
-RUN = np.dtype([("k1", "<i8"), ("k2", "<i4"), ("start", "<i4"), ("len", "<i4"), ("key", "<u8")])
-EXCHANGE = "bucket int, counted boolean, k1 binary, k2 binary, start binary, len binary, key binary, hashes binary"
+RUN = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("start", "<i4"), ("len", "<i4"), ("key", "<u8")])
+EXCHANGE = "bucket int, counted boolean, k1 binary, k2 binary, start binary, len binary, key binary, words binary"
 MARKS = "b int, runs binary"
 BUCKETS_PER_PARTITION = 4
 
@@ -142,6 +146,66 @@ class Powers:
         return self.up, self.down
 
 
+class Words(dict):
+    """Numbers of words as they come, and their hashes cut to some bits; equal numbers are equal words."""
+
+    def __init__(self, bits: int = 64):
+        super().__init__()
+        self.shift, self.known, self.hashed = np.uint64(64 - bits), [], np.empty(0, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = len(self.known)
+        self.known.append(word)
+        return out
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def symbols(self, numbers: np.ndarray) -> np.ndarray:
+        new = self.known[len(self.hashed) :]
+        if new:
+            own = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+            self.hashed = np.concatenate([self.hashed, own >> self.shift])
+        return self.hashed[numbers]
+
+
+def confirmed(numbers: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """Whether the windows from the places ``a`` and those from ``b`` have the same words.
+
+    Neighbouring windows that are paired at one distance are compared as one stretch.
+    """
+    if not len(a):
+        return np.zeros(0, bool)
+    new = np.concatenate([[True], (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)])
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(a))) + window - 1
+    ends = np.cumsum(size)
+    inside = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    differ = numbers[np.repeat(a[head], size) + inside] != numbers[np.repeat(b[head], size) + inside]
+    sums = np.concatenate([[0], np.cumsum(differ)])
+    at = np.arange(len(a)) + (np.cumsum(new) - 1) * (window - 1)
+    return sums[at + window] == sums[at]
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """For each key the place of its first occurrence."""
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return first[inverse]
+
+
+def twins(numbers: np.ndarray, at: np.ndarray, keys: np.ndarray, window: int) -> np.ndarray:
+    """Which of the windows have the words of another of them. Equal windows have equal keys; clashing ones are told apart by words."""
+    out, left = np.zeros(len(at), bool), np.arange(len(at))
+    while len(left):
+        first = _firsts(keys[left])
+        other = np.flatnonzero(first != np.arange(len(left)))
+        same = confirmed(numbers, at[left[other]], at[left[first[other]]], window)
+        out[left[other[same]]] = out[left[first[other[same]]]] = True
+        # Those that differ from the first of their key are compared among themselves.
+        left = left[other[~same]]
+    return out
+
+
 def window_hashes(symbols: np.ndarray, at: np.ndarray, window: int, powers: Powers) -> np.ndarray:
     """The polynomial hash of ``window`` words from each given word."""
     up, down = powers(len(symbols))
@@ -189,34 +253,25 @@ def document_bucket(k1: np.ndarray, buckets: int) -> np.ndarray:
     return k1 % PRIME * 48271 % PRIME % buckets
 
 
-def _exchange(runs: np.ndarray, bucket: np.ndarray, counted: bool, hashes: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Rows of ``EXCHANGE``; hashes: those of each run's windows, in order."""
+def _exchange(runs: np.ndarray, bucket: np.ndarray, counted: bool, words: list[bytes] | None) -> Iterator[pa.RecordBatch]:
+    """Rows of ``EXCHANGE``; words: those of each run's windows, joined by spaces."""
     if not len(runs):
         return
     order = np.argsort(bucket, kind="stable")
     runs, bucket = runs[order], bucket[order]
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    if hashes is not None:
-        n = runs["len"].astype(np.int64)
-        old = np.empty(len(order), np.int64)
-        old[order] = np.arange(len(order))
-        size = np.empty(len(order), np.int64)
-        size[order] = n
-        begin = (np.cumsum(size) - size)[order]
-        flat = hashes[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        ends = np.concatenate([[0], np.cumsum(n)])
     columns: list[list] = [[] for _ in range(8)]
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         part = runs[a:b]
         row = [int(bucket[a]), counted, *(np.ascontiguousarray(part[f]).tobytes() for f in RUN.names)]
-        row.append(flat[ends[a] : ends[b]].tobytes() if hashes is not None else b"")
+        row.append(b" ".join([words[i] for i in order[a:b].tolist()]) if words is not None else b"")
         for column, value in zip(columns, row):
             column.append(value)
     kinds = [pa.int32(), pa.bool_()] + [pa.binary()] * 6
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in EXCHANGE.split(", ")])
 
 
-def _received(table: pa.Table) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+def _received(table: pa.Table) -> Iterator[tuple[bool, np.ndarray, bytes]]:
     for batch in table.to_batches():
         cols = {name: batch.column(name) for name in batch.schema.names}
         for i in range(batch.num_rows):
@@ -224,7 +279,7 @@ def _received(table: pa.Table) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
             runs = np.empty(len(parts["k1"]), RUN)
             for f in RUN.names:
                 runs[f] = parts[f]
-            yield cols["counted"][i].as_py(), runs, np.frombuffer(cols["hashes"][i].as_buffer(), np.uint64)
+            yield cols["counted"][i].as_py(), runs, cols["words"][i].as_py()
 
 
 def _marks(runs: np.ndarray, buckets: int) -> pa.Table:
@@ -250,30 +305,41 @@ def _by_document(table: pa.Table) -> dict[tuple[int, int], np.ndarray]:
     return {(int(runs["k1"][a]), int(runs["k2"][a])): runs[a:b] for a, b in zip(cuts[:-1], cuts[1:])}
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+def _same_rows(ids: list, keys: list[tuple], texts: list) -> None:
+    """Rows are told apart by a 128-bit hash of id and text; rows that share it must be equal."""
+    seen: dict[tuple, tuple] = {}
+    for key, *row in zip(keys, ids, texts):
+        if seen.setdefault(key, row) != row:
+            raise ValueError(f"two rows have one hash: {row[0]!r}, {seen[key][0]!r}")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, hash_bits: int = 64) -> DataFrame:
     """One row per document: id, ``text`` (kept words joined by one space), ``n_words``, ``n_removed``, ``removed``.
 
     ``removed`` lists the removed stretches as (start, end) in words, end exclusive. A word
     goes if a window of ``window`` words of its document covers it and the same words start
     at any other place of any document; windows are judged on the input. Null and empty texts
-    have no words. Repeated rows repeat each other; a null id is an id like others. Windows
-    are equal if their 64-bit hashes are (a chance below n / 2**64 for each of n windows).
+    have no words. Repeated rows repeat each other; a null id is an id like others. Other
+    columns are ignored; an empty table gives an empty result. Windows are equal if all their
+    words are; ``hash_bits`` of the words' hashes choose what is compared, and the result is the
+    same for any number of them.
     """
     spark: SparkSession = docs.sparkSession
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(
         F.col(id_col).alias("id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("k1"),
-        F.hash(F.col(text_col)).alias("k2"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"),
+        F.xxhash64(F.lit(9), F.col(text_col), F.col(id_col)).alias("k2"),
         F.col(text_col).alias("text"),
     ).withColumn("b", F.expr(f"cast(pmod(k1, {PRIME}) * 48271 % {PRIME} % {buckets} as int)"))
+    shift = np.uint64(64 - hash_bits)
 
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
         for batch in slices(batches, "text"):
             lists = [words_of(t, False) for t in batch.column("text").to_pylist()]
             starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-            symbols = np.concatenate([hashes_of(x, cache) for x in lists]) if lists else np.empty(0, np.uint64)
+            symbols = np.concatenate([hashes_of(x, cache) for x in lists]) >> shift if lists else np.empty(0, np.uint64)
             del lists
             at, count, key = anchors(symbols, starts, window)
             owner = np.searchsorted(starts, at, "right") - 1
@@ -296,10 +362,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found, out = _by_document(right), []
-        cache, powers = HashCache(), Powers()
+        words, powers = Words(hash_bits), Powers()
         if found:
             for batch in slices(iter(left.to_batches()), "text"):
-                parts, hashes = [], []
+                if len(words.known) > CACHE_WORDS:
+                    words = Words(hash_bits)
+                parts, at, texts, place = [], [], [], 0
                 for k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text"))):
                     runs = found.get((k1, k2))
                     if runs is None:
@@ -307,35 +375,56 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     # Repeated rows pool their marks: each mark counts once for each row.
                     runs = runs[np.unique(runs["start"], return_index=True)[1]]
                     parts.append(runs)
-                    hashes.append(window_hashes(hashes_of(words_of(text, False), cache), _expand(runs)[1], window, powers))
+                    texts += words_of(text, False)
+                    at.append(_expand(runs)[1] + place)
+                    place = len(texts)
                 if not parts:
                     continue
-                runs, flat = np.concatenate(parts), np.concatenate(hashes)
-                owner, at = _expand(runs)
-                send = _ranks(flat) < 2
-                some = _recode(runs, owner[send], at[send])
-                out += _exchange(some, (mix64(some["key"]) % np.uint64(buckets)).astype(np.int64), True, flat[send])
-                rest = _recode(runs, owner[~send], at[~send])
+                runs, at = np.concatenate(parts), np.concatenate(at)
+                numbers = words.numbers(texts)
+                # Words follow each other across documents, but no window does.
+                keys = window_hashes(words.symbols(numbers), at, window, powers)
+                owner, start = _expand(runs)
+                rank = _ranks(keys)
+                rest, first = np.flatnonzero(rank > 1), _firsts(keys)
+                same = rest[confirmed(numbers, at[rest], at[first[rest]], window)]
+                send = np.ones(len(at), bool)
+                send[same] = False
+                # The first one has a twin here, whether or not the second one sent is its equal.
+                known = ~send
+                known[first[same]] = True
+                some = _recode(runs, owner[send], start[send])
+                # A document's first word among all: a window's place less its start.
+                n = some["len"].astype(np.int64)
+                heads = at[send][np.cumsum(n) - n]
+                own = [b" ".join(texts[i : i + m + window - 1]) for i, m in zip(heads.tolist(), n.tolist())]
+                out += _exchange(some, (mix64(some["key"]) % np.uint64(buckets)).astype(np.int64), True, own)
+                rest = _recode(runs, owner[known], start[known])
                 out += _exchange(rest, document_bucket(rest["k1"], buckets), False, None)
         return pa.Table.from_batches(out, pa.schema([(x.split()[0], {"int": pa.int32(), "boolean": pa.bool_()}.get(x.split()[1], pa.binary())) for x in EXCHANGE.split(", ")]))
 
     def shared_windows(table: pa.Table) -> pa.Table:
-        counted, hashes, marked = [], [], []
-        for count, runs, flat in _received(table):
+        counted, numbers, marked = [], [], []
+        words, powers = Words(hash_bits), Powers()
+        for count, runs, own in _received(table):
             if count:
                 counted.append(runs)
-                hashes.append(flat)
+                numbers.append(words.numbers(own.split(b" ")))
             else:
                 marked.append(runs)
         if counted:
-            runs = np.concatenate(counted)
-            owner, at = _expand(runs)
-            twin = _shared(np.concatenate(hashes))
-            marked.append(_recode(runs, owner[twin], at[twin]))
+            runs, numbers = np.concatenate(counted), np.concatenate(numbers)
+            owner, start = _expand(runs)
+            # A run's words follow those of the runs before it.
+            size = runs["len"].astype(np.int64) + window - 1
+            at = (np.cumsum(size) - size)[owner] + start - runs["start"][owner]
+            twin = twins(numbers, at, window_hashes(words.symbols(numbers), at, window, powers), window)
+            marked.append(_recode(runs, owner[twin], start[twin]))
         return _marks(np.concatenate(marked), buckets)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         found, rows = _by_document(right), []
+        _same_rows(left.column("id").to_pylist(), list(zip(left.column("k1").to_pylist(), left.column("k2").to_pylist())), left.column("text").to_pylist())
         for doc_id, k1, k2, text in zip(*(left.column(c).to_pylist() for c in ("id", "k1", "k2", "text"))):
             words = words_of(text, False)
             runs = found.get((k1, k2))

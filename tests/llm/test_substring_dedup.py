@@ -80,3 +80,33 @@ def test_equal_windows_have_equal_anchors():
                 assert by.setdefault(symbols[i : i + 35].tobytes(), k) == k
         sizes = recompress(symbols, np.isin(np.arange(4000), starts), 35)[1]
         assert sizes.sum() == 4000 and sizes.max() <= 4
+
+
+@pytest.mark.parametrize("bits", [1, 4, 12])
+def test_clashing_hashes_change_nothing(spark, docs, bits):
+    """With few bits nearly all words, names and windows clash; words decide."""
+    rows = docs.select("doc_id", "text").limit(60).collect()
+    rng = random.Random(bits)
+    passage = " ".join(rng.choices("abcdefghij", k=50))
+    rows = [(r["doc_id"], r["text"]) for r in rows] + [(10**6 + i, f"{i} start {passage} end {i}") for i in range(9)] + [(None, passage)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digest(remove_repeats(frame, hash_bits=bits).collect()) == brute(frame.collect(), 35)
+
+
+def test_rows_without_id_and_with_one_id_stay_apart(spark):
+    """Rows whose texts share a 32-bit hash, without an id or with the same id."""
+    from pyspark.sql import functions as F
+
+    shared = " ".join(f"word{i}" for i in range(40))
+    own = spark.range(300_000).select(F.col("id").alias("i"), F.concat(F.lit(shared), F.lit(" and "), F.col("id")).alias("text")).withColumn("h", F.hash("text"))
+    pairs = [r["t"] for r in own.groupBy("h").agg(F.collect_list("text").alias("t")).where("size(t) > 1").limit(3).collect()]
+    assert pairs
+    rows = [(None, t) for p in pairs for t in p] + [(7, t) for t in pairs[0]] + [(None, "x " * 60 + pairs[0][0])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digest(remove_repeats(frame).collect()) == brute(frame.collect(), 35)
+
+
+def test_ids_of_any_type(spark):
+    rows = [("a", "w " * 40), ("b", "w " * 41), (None, None), ("c", "only once")]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert {(r["doc_id"], r["n_removed"]) for r in got.collect()} == {("a", 40), ("b", 41), (None, 0), ("c", 0)}
