@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     total = known.count()
     if total > SAMPLE_DOCS:
-        known = known.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 20)) < int(SAMPLE_DOCS / total * (1 << 20)))
+        # The upper 53 bits of a hash against the rate to 2**-53, which no number of labels rounds to nothing.
+        known = known.where(F.shiftrightunsigned(F.xxhash64(F.lit(5), "id"), 11) < max(1, int(SAMPLE_DOCS / total * (1 << 53))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").select("text", "grade")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
