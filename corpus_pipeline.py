@@ -17,8 +17,12 @@ from lodestone.llm.ngram_join import similar_documents
 from lodestone.llm.token_files import token_files
 from lodestone.operators.staging import Stage
 
-#: Below this posterior a document's language counts as not identified.
-LEAST_SCORE = 0.3
+#: A document's language is identified if its posterior is so many times that of a guess (but not over 1) and
+#: at least this share of its words tells languages apart.
+LEAST_LIFT = 1.2
+LEAST_KNOWN = 0.5
+#: Most row numbers (8 bytes each) that are broadcast.
+BROADCAST_ROWS = 4_000_000
 
 
 def fresh(name: str, columns: list[str]) -> str:
@@ -28,21 +32,45 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def numbered(spark: SparkSession, docs: DataFrame, label: str) -> tuple[Stage, DataFrame, str]:
+    """The documents in a written table that numbers their rows, and the number's column.
+
+    Rows are told apart by it, whatever ids they repeat or lack.
+    """
+    stage, row = Stage(spark, label), fresh("row", docs.columns)
+    return stage, stage.write(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; the model learns from the documents that have a language."""
+    """Documents whose language is identified; the model learns from the documents that have a language.
+
+    Null texts, texts without a letter and texts in the letters of none of the languages go;
+    without labelled documents all go. Repeated rows and null ids are documents like others.
+    """
     columns = tuple(docs.columns)
-    pred, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
-    found = identify(docs, fit(docs), keep=columns, pred_col=pred, score_col=score)
-    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*columns)
+    pred, score, known = (fresh(n, docs.columns) for n in ("lang_pred", "score", "known"))
+    model = fit(docs)
+    found = identify(docs, model, keep=columns, pred_col=pred, score_col=score, known_col=known)
+    least = min(1.0, LEAST_LIFT / max(1, len(model.langs)))
+    # Of a single language no word tells it apart from others.
+    least_known = LEAST_KNOWN if len(model.langs) > 1 else 0.0
+    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least) & (F.col(known) >= least_known)).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 or more of their 5-word shingles connect, the one with the smallest id.
+    """Of rows that links of 0.8 or more of their 5-word shingles connect, the one with the smallest id.
 
-    Documents without words or id stay.
+    Exactly one row of a group stays: null ids come last, of equal ids the first row. Rows
+    without words are linked with none and stay.
     """
-    gone = similar_documents(docs, count_links=False).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    stage, rows, row = numbered(spark, docs, "near-duplicates")
+    found = similar_documents(rows, id_col=row, count_links=False).select(F.col(row).alias("n_row"), F.col("component_id").alias("n_group"))
+    members = stage.write(rows.select(F.col(row).alias("n_row"), F.col("doc_id").alias("n_id")).join(found, "n_row"))
+    first = F.min(F.struct(F.col("n_id").isNull().alias("u"), "n_id", "n_row")).alias("first")
+    stays = stage.write(members.groupBy("n_group").agg(first, F.count("*").alias("n")).where("n > 1").select("n_group", "first.n_row"))
+    gone = stage.write(members.join(stays.withColumnRenamed("n_row", "stays"), "n_group").where("n_row <> stays").select(F.col("n_row").alias(row)))
+    small = gone.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(gone) if small else gone, row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,20 +79,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, up to 3 times; what is left of a whole
-    time becomes one more with that chance, by a hash of the id. Documents without words go."""
-    mix = mix_sources(docs).groupBy("doc_id").agg(F.max("taken").alias("mix_taken"), F.max("size").alias("mix_size"))
-    key, times, copy = (fresh(n, docs.columns) for n in ("mix_id", "mix_times", "mix_copy"))
+    """Each row as often as the mix takes its words, up to 3 times; what is left of a whole
+    time becomes one more with that chance, by a hash of the id. Documents without words go;
+    rows that share an id or have none are mixed each on its own."""
+    _, rows, row = numbered(spark, docs, "source-mixing")
+    times, copy = (fresh(n, rows.columns) for n in ("mix_times", "mix_copy"))
+    mix = mix_sources(rows, row_col=row).where("taken > 0")
     share = F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    copies = mix.where("mix_taken > 0").select(
-        F.col("doc_id").alias(key), F.floor(F.col("mix_taken") / F.col("mix_size") + share).cast("int").alias(times)
-    )
-    joined = docs.join(copies.where(F.col(times) > 0), docs["doc_id"].eqNullSafe(F.col(key)))
+    copies = mix.select(row, F.floor(F.col("taken") / F.col("size") + share).cast("int").alias(times))
+    joined = rows.join(copies.where(F.col(times) > 0), row)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids in Arrow files; one row per document as read back."""
+    """The documents' token ids in Arrow files; one row per document as read back.
+
+    Null and empty texts have the end id alone; repeated rows are written each, null ids come first.
+    """
     return token_files(docs, Stage(spark, "token-files").path, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -84,10 +84,36 @@ def test_run_equals_its_stages(spark, stages):
 
 
 def test_odd_and_empty_documents(spark, odd, empty):
-    clash = odd.select("doc_id", "text", "lang", "source", *[F.lit("kept").alias(n) for n in ("score", "lang_pred", "mix_id", "mix_copy", "mix_times", "id")])
+    clash = odd.select("doc_id", "text", "lang", "source", *[F.lit("kept").alias(n) for n in ("score", "lang_pred", "mix_id", "mix_copy", "mix_times", "id", "row", "n_row", "known", "n_group", "size", "taken")])
     for docs in (clash, empty):
         for _, function in pipeline.STAGES[:-1]:
             columns, docs = docs.columns, function(spark, docs, SF).cache()
             assert docs.columns == columns
             assert docs is not clash and {r["score"] for r in docs.collect()} == {"kept"} if "score" in columns else docs.count() == 0
         assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    near = "one two three four five six seven eight nine ten " * 3
+    rows = [(5, near), (5, near), (None, near), (None, near), (3, near + "eleven"), (None, "alone " * 9), (8, "pair " + "x y z w v " * 4), (8, "pair " + "x y z w v " * 4),
+            (None, None), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(3, near + "eleven"), (None, "alone " * 9), (8, "pair " + "x y z w v " * 4), (None, None), (None, None), (9, ""), (9, "")], key=str)
+
+
+def test_rows_without_id_are_mixed_each_on_its_own(spark):
+    rows = [(None, "w " * n, "a") for n in range(1, 60)] + [(1, "v " * 5, "b"), (1, "v " * 300, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = Counter((r["doc_id"], len(r["text"].split()), r["source"]) for r in pipeline.source_mixing(spark, docs, SF).collect())
+    assert max(times.values()) <= 3
+    words = sum(n * size for (_, size, source), n in times.items() if source == "a")
+    goal = targets([sum(range(1, 60)), 305])[0]
+    assert abs(words - goal) < 0.25 * goal + 60
+
+
+def test_language_id_rejects_a_language_that_was_not_learnt(spark):
+    rows = [(i, "the cat sat on the mat and looked", "en") for i in range(9)] + [(20 + i, "le chat est sur le tapis", "fr") for i in range(3)]
+    rows += [(50, "αυτό είναι ένα κείμενο", None), (51, "the mat", None), (52, "½ 123", None), (53, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in pipeline.language_id(spark, docs, SF).collect()} == {*range(9), 20, 21, 22, 51}
