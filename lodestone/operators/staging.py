@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROW_GROUP_BYTES = 32 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset and one machine runs all tasks."""
@@ -35,7 +37,8 @@ class Stage:
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         self._n += 1
         path = f"{self.path}/{self._n}"
-        writer = df.write.mode("overwrite")
+        # A writing task holds one row group; these are small enough for executors of a few gigabytes.
+        writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
