@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.words import slices
+from lodestone.llm.words import slices, tidy
 from lodestone.operators.staging import Stage
 
 SEQUENCE = 1024
@@ -332,16 +333,16 @@ def write_token_files(
         rows.repartitionByRange("id", "h")
         .sortWithinPartitions("id", "h", "text")
         .select("id", "text")
-        .mapInArrow(encode, "shard long, part long, file string, n_docs long, n_tokens long")
+        .mapInArrow(tidy(encode), "shard long, part long, file string, n_docs long, n_tokens long")
     )
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """Per document in the files (``shard``, ``part``, ``file``): shard, part, id, ``start`` in the file, ``n_tokens``, ``ids_crc32``."""
+    """Per document in the files (``file``, ``base``: the tokens before it): id, ``start``, ``n_tokens``, ``ids_crc32``."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, part, uri in zip(*(batch.column(c).to_pylist() for c in ("shard", "part", "file"))):
+            for uri, base in zip(*(batch.column(c).to_pylist() for c in ("file", "base"))):
                 tokens = TokenFile(uri)
                 listed = _open(uri.replace("/shard-", "/docs-"))
                 for i in range(listed.num_record_batches):
@@ -352,12 +353,10 @@ def read_token_files(files: DataFrame) -> DataFrame:
                         for piece in tokens.pieces(start, n):
                             crc = zlib.crc32(piece.astype("<u4"), crc)
                         sums.append(crc)
-                    own = [pa.array([x] * len(sums), pa.int64()) for x in (shard, part)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*own, *docs.columns, pa.array(sums, pa.int64())], names=["shard", "part", "id", "start", "n_tokens", "ids_crc32"]
-                    )
+                    ids, start, n = docs.columns
+                    yield pa.RecordBatch.from_arrays([ids, pc.add(start, base), n, pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("shard", "part", "file").mapInArrow(decode, "shard long, part long, id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("file", "base").mapInArrow(tidy(decode), "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", **more) -> DataFrame:
@@ -368,12 +367,8 @@ def token_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "do
     if not count:
         return spark.createDataFrame([], f"{id_col} long, start long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("shard", "part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return (
-        read_token_files(files.repartition(min(count, READERS)))
-        .join(bases, ["shard", "part"])
-        .select(F.col("id").alias(id_col), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
-    )
+    based = files.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    return read_token_files(based.repartition(min(count, READERS))).withColumnRenamed("id", id_col)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
