@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from lodestone.llm.words import tidy
+
 SLICES = 16
 SCHEMA = "slice int, salt int, counts binary"
 
@@ -41,7 +43,7 @@ def sum_arrays(frame: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.
         if parts:
             yield rows(parts, 0)
 
-    summed = frame.mapInArrow(first, SCHEMA).repartition("slice", "salt").mapInArrow(add, SCHEMA).repartition("slice").mapInArrow(add, SCHEMA)
+    summed = frame.mapInArrow(tidy(first), SCHEMA).repartition("slice", "salt").mapInArrow(add, SCHEMA).repartition("slice").mapInArrow(add, SCHEMA)
     out, width = np.zeros(cells, np.uint64), cells // SLICES
     for r in summed.collect():
         out[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(bytes(r["counts"]), np.uint64)

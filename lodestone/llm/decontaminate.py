@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import slices
+from lodestone.llm.words import slices, tidy
 
 Q = 8
 #: Edits allowed for each character of an item.
@@ -349,7 +349,7 @@ def find_contamination(
                         names=["id", "item", "start", "end", "edits"],
                     )
 
-        part = rows.mapInArrow(match, f"id {kinds[0]}, item {kinds[1]}, start int, end int, edits int")
+        part = rows.mapInArrow(tidy(match), f"id {kinds[0]}, item {kinds[1]}, start int, end int, edits int")
         out = part if out is None else out.unionAll(part)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
@@ -373,7 +373,7 @@ def drop_contaminated(
                 found = {i for i, *_ in matcher([t or "" for t in batch.column(text_col).to_pylist()])}
                 yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in found], pa.int64()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(tidy(keep), docs.schema)
     return docs
 
 

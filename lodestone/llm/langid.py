@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.words import CACHE_WORDS, slices, words_of
+from lodestone.llm.words import CACHE_WORDS, slices, tidy, words_of
 from lodestone.operators.staging import Stage
 
 #: Bounds of the fit: documents in the sample, at least so many of each language.
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         rows = rows.join(F.broadcast(limits), "lang").where(chance < F.col("limit")).select("id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             seen: dict[tuple, int] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 for word in LETTERS.findall(text.lower()):
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 }
             )
 
-    words = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = rows.mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = Stage(docs.sparkSession, "langid").write(words)
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     tables = [_table(words.select(F.xxhash64("word").alias("key"), "lang", "n").toArrow(), langs)]
@@ -287,7 +287,7 @@ def identify(
             )
 
     fields = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    out = rows.mapInArrow(score, f"{fields}{', ' if fields else ''}lang_pred string, score double, known double")
+    out = rows.mapInArrow(tidy(score), f"{fields}{', ' if fields else ''}lang_pred string, score double, known double")
     named = [("lang_pred", pred_col), ("score", score_col)] + ([("known", known_col)] if known_col else [])
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(a).alias(b) for a, b in named])
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.arrays import sum_arrays
 from lodestone.llm.components import components
-from lodestone.llm.words import HashCache, hashes_of, mix64, slices, words_of
+from lodestone.llm.words import HashCache, hashes_of, mix64, slices, tidy, words_of
 from lodestone.operators.staging import Stage
 
 CELLS = 1 << 20
@@ -35,6 +35,8 @@ BITMAP = 1 << 24
 STAR = 256
 BLOCK = 512
 BUCKETS_PER_PARTITION = 1
+#: Words whose hashes a task holds.
+CACHE = 1 << 18
 #: Rows without an id get ids from here on; ids of documents are below.
 NO_ID = 1 << 62
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +88,7 @@ def frequency_sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     """Counts of all documents' n-grams by cell."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-        cache, total = HashCache(), None
+        cache, total = HashCache(CACHE), None
         for batch in slices(batches, "text"):
             flat = np.concatenate([ngrams(t, n, cache) for t in batch.column("text").to_pylist()])
             own = np.bincount((flat >> np.uint64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
@@ -122,7 +124,7 @@ def similar_documents(
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, text_col, n))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, counts = HashCache(), sketch.value
+        cache, counts = HashCache(CACHE), sketch.value
         for batch in slices(batches, "text"):
             out: list[list] = [[] for _ in range(7)]
             for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
@@ -211,7 +213,7 @@ def similar_documents(
             }
         )
 
-    described = rows.mapInArrow(describe, "b int, k long, has_id boolean, n long, s1 long, s2 long, prefix binary, bins binary")
+    described = rows.mapInArrow(tidy(describe), "b int, k long, has_id boolean, n long, s1 long, s2 long, prefix binary, bins binary")
     offers = described.groupBy("b").applyInArrow(offer, "bucket int, b int, grams binary, sets binary")
     marks = offers.groupBy("bucket").applyInArrow(shared, "b int, grams binary")
     marked = stage.write(
@@ -299,7 +301,7 @@ def _verify(rows: DataFrame, pairs: DataFrame, n: int, share: tuple[int, int], b
     )
     wanted = dealt.select("bucket", F.col("hub").alias("id")).unionAll(dealt.select("bucket", F.col("leaf").alias("id"))).distinct()
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        cache, sets = HashCache(), {}
+        cache, sets = HashCache(CACHE), {}
         for i, text in zip(left.column("id").to_pylist(), left.column("text")):
             sets.setdefault(i, []).append(ngrams(text.as_py(), n, cache))
         a, b = [], []
@@ -332,7 +334,7 @@ def _texts(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     ends = spark.sparkContext.broadcast(bitmap)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, bits = HashCache(), ends.value
+        cache, bits = HashCache(CACHE), ends.value
         for batch in slices(batches, "text"):
             ids, texts = batch.column("id").to_pylist(), batch.column("text")
             k = np.array([i if i is not None else key_of(None, signature(ngrams(t.as_py(), n, cache))[0]) for i, t in zip(ids, texts)], np.int64)
@@ -341,7 +343,7 @@ def _texts(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([pa.array(k).take(at), texts.take(at)], names=["id", "text"])
 
-    return rows.where(F.col("text").isNotNull()).mapInArrow(narrow, "id long, text string")
+    return rows.where(F.col("text").isNotNull()).mapInArrow(tidy(narrow), "id long, text string")
 
 
 def _count_links(rows: DataFrame, members: DataFrame, n: int, share: tuple[int, int], buckets: int, stage: Stage) -> DataFrame:
@@ -356,7 +358,7 @@ def _count_links(rows: DataFrame, members: DataFrame, n: int, share: tuple[int,
     )
 
     def count(table: pa.Table) -> pa.Table:
-        cache = HashCache()
+        cache = HashCache(CACHE)
         groups: dict[tuple, dict[int, tuple]] = {}
         for comp, low, high, i, docs, block, text in zip(*(table.column(c).to_pylist() for c in ("comp", "low", "high", "id", "docs", "block", "text"))):
             groups.setdefault((comp, low, high), {})[i] = (docs, block, text)

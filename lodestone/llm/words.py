@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,12 @@ CACHE_WORDS = 1 << 19
 class HashCache(dict):
     """64-bit hashes of byte strings."""
 
+    def __init__(self, most: int = CACHE_WORDS):
+        super().__init__()
+        self.most = most
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
@@ -60,3 +66,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             total += n
         if len(sizes) > start:
             yield batch.slice(start)
+
+
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function over batches; when it is done, its worker gives the memory that it has freed back to the system."""
+
+    @functools.wraps(function)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
