@@ -38,7 +38,7 @@ class Stage:
         self._n += 1
         path = f"{self.path}/{self._n}"
         # A writing task holds one row group; these are small enough for executors of a few gigabytes.
-        writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
+        writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
