@@ -21,7 +21,7 @@ from lodestone.operators.staging import Stage
 #: at least this share of its words tells languages apart.
 LEAST_LIFT = 1.2
 LEAST_KNOWN = 0.5
-#: Most row numbers (8 bytes each) that are broadcast.
+#: Most rows (a row number, or one with a small integer) that are broadcast; more meet by a sort-merge join.
 BROADCAST_ROWS = 4_000_000
 
 
@@ -64,8 +64,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without words are linked with none and stay.
     """
     stage, rows, row = numbered(spark, docs, "near-duplicates")
-    found = similar_documents(rows, id_col=row, count_links=False).select(F.col(row).alias("n_row"), F.col("component_id").alias("n_group"))
+    joined = Stage(spark, "ngram-join")
+    found = similar_documents(rows, id_col=row, count_links=False, stage=joined).select(F.col(row).alias("n_row"), F.col("component_id").alias("n_group"))
     members = stage.write(rows.select(F.col(row).alias("n_row"), F.col("doc_id").alias("n_id")).join(found, "n_row"))
+    joined.drop()
     first = F.min(F.struct(F.col("n_id").isNull().alias("u"), "n_id", "n_row")).alias("first")
     stays = stage.write(members.groupBy("n_group").agg(first, F.count("*").alias("n")).where("n > 1").select("n_group", "first.n_row"))
     gone = stage.write(members.join(stays.withColumnRenamed("n_row", "stays"), "n_group").where("n_row <> stays").select(F.col("n_row").alias(row)))
@@ -82,12 +84,13 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Each row as often as the mix takes its words, up to 3 times; what is left of a whole
     time becomes one more with that chance, by a hash of the id. Documents without words go;
     rows that share an id or have none are mixed each on its own."""
-    _, rows, row = numbered(spark, docs, "source-mixing")
+    stage, rows, row = numbered(spark, docs, "source-mixing")
     times, copy = (fresh(n, rows.columns) for n in ("mix_times", "mix_copy"))
     mix = mix_sources(rows, row_col=row).where("taken > 0")
     share = F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     copies = mix.select(row, F.floor(F.col("taken") / F.col("size") + share).cast("int").alias(times))
-    joined = rows.join(copies.where(F.col(times) > 0), row)
+    copies = stage.write(copies.where(F.col(times) > 0))
+    joined = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, row)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 

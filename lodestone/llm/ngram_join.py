@@ -106,6 +106,7 @@ def similar_documents(
     n: int = 5,
     share: tuple[int, int] = (80, 100),
     count_links: bool = True,
+    stage: Stage | None = None,
 ) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` and, if asked for, ``n_links``.
 
@@ -114,10 +115,11 @@ def similar_documents(
     rows that a row links with. Null and empty texts have an
     empty set, which links with nothing. Rows with one id are one document to the links. Null
     ids never are a component unless all of its rows lack ids; then the component is null.
-    Other columns are ignored; an empty table gives an empty result. Ids are below 2**62.
+    Other columns are ignored; an empty table gives an empty result. Ids are integers below 2**62.
+    The result reads the tables of ``stage``; whoever gives one can drop them when it is used.
     """
     spark: SparkSession = docs.sparkSession
-    stage = Stage(spark, "ngram-join")
+    stage = stage or Stage(spark, "ngram-join")
     num, den = share
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -117,3 +117,9 @@ def test_language_id_rejects_a_language_that_was_not_learnt(spark):
     rows += [(50, "αυτό είναι ένα κείμενο", None), (51, "the mat", None), (52, "½ 123", None), (53, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in pipeline.language_id(spark, docs, SF).collect()} == {*range(9), 20, 21, 22, 51}
+
+
+def test_many_rows_meet_without_a_broadcast(spark, stages, monkeypatch):
+    monkeypatch.setattr(pipeline, "BROADCAST_ROWS", 0)
+    for (name, before, after), (_, function) in list(zip(stages, pipeline.STAGES))[1:4:2]:
+        assert Counter(r["doc_id"] for r in function(spark, before, SF).collect()) == Counter(r["doc_id"] for r in after.collect()), name
