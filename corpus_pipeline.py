@@ -22,7 +22,7 @@ from lodestone.operators.staging import Stage
 LEAST_LIFT = 1.2
 LEAST_KNOWN = 0.5
 #: Most rows (a row number, or one with a small integer) that are broadcast; more meet by a sort-merge join.
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def fresh(name: str, columns: list[str]) -> str:

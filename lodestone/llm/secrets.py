@@ -25,7 +25,7 @@ from lodestone.operators.staging import Stage
 
 #: Documents of a segment of the index; the most candidates (16 bytes each) that are broadcast.
 SEGMENT = 4096
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
