@@ -23,7 +23,10 @@ def pmod(a: Column, b: Column) -> Column:
 
 def truncate(x: Column, scale: Column | int = 0) -> Column:
     """Toward zero, to a number of decimal places."""
-    unit = F.pow(F.lit(10.0), scale if isinstance(scale, Column) else F.lit(scale))
+    if isinstance(scale, int):
+        digits = F.signum(x) * F.floor(F.abs(x.cast("decimal(38, 18)")), F.lit(scale))
+        return F.when(F.abs(x) < 1e15, digits.cast("double")).otherwise(x.cast("double"))
+    unit = F.pow(F.lit(10.0), scale)
     return F.signum(x) * F.floor(F.abs(x) * unit) / unit
 
 

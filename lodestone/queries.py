@@ -329,13 +329,13 @@ sql("fn_like", f"SELECT s, s LIKE 'a%' AS p, s LIKE 'a_c' AS q, s NOT LIKE '%b%'
 sql("fn_like_escape", f"SELECT s, s LIKE 'a!%c' ESCAPE '!' AS p, s LIKE 'a!_c' ESCAPE '!' AS q FROM {_S}")
 sql("fn_cast", "SELECT CAST('42' AS INT) AS i, CAST(7.9 AS BIGINT) AS b, CAST(3 AS DOUBLE) AS d, CAST(12 AS STRING) AS s, CAST(1 AS BOOLEAN) AS t, CAST(CAST('2024-02-29' AS DATE) AS STRING) AS dt, CAST(CAST('2024-02-29 01:02:03' AS TIMESTAMP) AS STRING) AS ts",
     "SELECT 42 AS i, CAST(7 AS BIGINT) AS b, CAST(3 AS DOUBLE) AS d, '12' AS s, true AS t, '2024-02-29' AS dt, '2024-02-29 01:02:03' AS ts")
-sql("fn_arith_div0", "SELECT o_orderkey, SAFE_DIVIDE(o_totalprice, o_orderkey % 3) AS d, SAFE_MOD(o_orderkey, o_orderkey % 3) AS m FROM orders",
+sql("fn_arith_div0", "SELECT o_orderkey, o_totalprice / (o_orderkey % 3) AS d, MOD(o_orderkey, o_orderkey % 3) AS m FROM orders",
     "SELECT o_orderkey, o_totalprice / nullif(o_orderkey % 3, 0) AS d, o_orderkey % nullif(o_orderkey % 3, 0) AS m FROM orders")
 sql("fn_math", """SELECT s_suppkey, abs(s_acctbal) AS a, CAST(ceil(s_acctbal) AS BIGINT) AS c, CAST(floor(s_acctbal) AS BIGINT) AS f, round(sqrt(abs(s_acctbal)), 8) AS q,
        round(cbrt(s_acctbal), 8) AS k, round(exp(s_nationkey / 10.0), 8) AS e, CAST(pow(s_nationkey, 2) AS BIGINT) AS p, CAST(sign(s_acctbal) AS INT) AS s FROM supplier""",
     """SELECT s_suppkey, abs(s_acctbal) AS a, CAST(ceil(s_acctbal) AS BIGINT) AS c, CAST(floor(s_acctbal) AS BIGINT) AS f, round(sqrt(abs(s_acctbal)), 8) AS q,
        round(cbrt(s_acctbal), 8) AS k, round(exp(CAST(s_nationkey AS DOUBLE) / 10), 8) AS e, CAST(pow(s_nationkey, 2) AS BIGINT) AS p, CAST(sign(s_acctbal) AS INT) AS s FROM supplier""")
-sql("fn_round_trunc", "SELECT x, round(x, 1) AS r1, round(x) AS r0, TRUNCATE(x, 1) AS t1, TRUNCATE(x, 0) AS t0 FROM (SELECT CAST(a AS DOUBLE) AS x FROM (VALUES (1.25), (-1.25), (2.5), (-2.75), (0.0)) AS t(a)) u",
+sql("fn_round_trunc", "SELECT x, round(x, 1) AS r1, round(x) AS r0, TRUNC(x, 1) AS t1, TRUNCATE(x, 0) AS t0 FROM (SELECT CAST(a AS DOUBLE) AS x FROM (VALUES (1.25), (-1.25), (2.5), (-2.75), (0.0)) AS t(a)) u",
     "SELECT x, round(x, 1) AS r1, round(x) AS r0, trunc(x * 10) / 10 AS t1, trunc(x) AS t0 FROM (SELECT CAST(a AS DOUBLE) AS x FROM (VALUES (1.25), (-1.25), (2.5), (-2.75), (0.0)) AS t(a)) u")
 sql("fn_mod_pmod", "SELECT a, mod(a, 3) AS m, pmod(a, 3) AS p FROM (VALUES (7), (-7), (0)) AS t(a)", "SELECT a, a % 3 AS m, ((a % 3) + 3) % 3 AS p FROM (VALUES (7), (-7), (0)) AS t(a)")
 sql("fn_log", "SELECT p_partkey, round(ln(p_size), 8) AS a, round(log(p_size), 8) AS n, round(log(2.0, p_size), 8) AS b, round(log2(p_size), 8) AS c, round(log10(p_size), 8) AS d FROM part WHERE p_size > 0",
@@ -344,7 +344,7 @@ sql("fn_string", "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, CAS
 sql("fn_substring", "SELECT p_partkey, substring(p_name, 2, 3) AS a, substring(p_name, 1, 100) AS b, substr(p_name, 3, 2) AS c FROM part")
 sql("fn_trim", "SELECT trim(s) AS t, ltrim(s) AS l, rtrim(s) AS r, trim(BOTH 'x' FROM 'xxaxx') AS b FROM (VALUES ('  a b '), ('c'), (NULL)) AS t(s)")
 sql("fn_pad", "SELECT p_partkey, lpad(p_type, 8, '*') AS l, rpad(p_type, 4, '-') AS r FROM part")
-sql("fn_split", "SELECT doc_id, w[0] AS a, w[1] AS b FROM (SELECT doc_id, SPLIT_LITERAL(concat(lang, '.', source), '.') AS w FROM documents) t",
+sql("fn_split", "SELECT doc_id, w[0] AS a, w[1] AS b FROM (SELECT doc_id, SPLIT(concat(lang, '.', source), '.') AS w FROM documents) t",
     "SELECT doc_id, w[1] AS a, w[2] AS b FROM (SELECT doc_id, string_split(lang || '.' || source, '.') AS w FROM documents) t")
 sql("fn_locate", "SELECT p_partkey, CAST(locate('A', p_type) AS BIGINT) AS l, CAST(instr(p_type, 'O') AS BIGINT) AS i, CAST(position('R' IN p_type) AS BIGINT) AS p FROM part",
     "SELECT p_partkey, instr(p_type, 'A') AS l, instr(p_type, 'O') AS i, position('R' IN p_type) AS p FROM part")
@@ -360,8 +360,17 @@ _Y = ", ".join(f"CAST({f}(o_orderdate) AS BIGINT) AS {f}" for f in ("year", "mon
 sql("fn_date_parts", f"SELECT o_orderkey, {_Y} FROM orders")
 _Z = ", ".join(f"CAST(date_trunc('{f}', ts) AS STRING) AS {f}" for f in ("year", "quarter", "month", "week", "day", "hour", "minute"))
 sql("fn_date_trunc", f"SELECT event_id, {_Z} FROM events", f"SELECT event_id, {_Z} FROM (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts FROM events) t".replace("CAST(date_trunc", "strftime(CAST(date_trunc").replace(", ts) AS STRING)", ", ts) AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"))
-sql("fn_parse_bad", "SELECT CAST(PARSE_DATE(s) AS STRING) AS d, CAST(PARSE_TIMESTAMP(s, 'yyyy-MM-dd HH:mm:ss') AS STRING) AS t FROM (VALUES ('2024-01-31'), ('2024-02-30'), ('x'), ('2024-01-31 10:11:12'), (NULL)) AS t(s)",
+sql("fn_parse_bad", "SELECT CAST(TO_DATE(s) AS STRING) AS d, CAST(TO_TIMESTAMP(s, 'yyyy-MM-dd HH:mm:ss') AS STRING) AS t FROM (VALUES ('2024-01-31'), ('2024-02-30'), ('x'), ('2024-01-31 10:11:12'), (NULL)) AS t(s)",
     "SELECT * FROM (VALUES ('2024-01-31', NULL), (NULL, NULL), (NULL, NULL), ('2024-01-31', '2024-01-31 10:11:12'), (NULL, NULL)) AS t(d, t)")
+sql("fn_extract_fraction", """SELECT event_id, EXTRACT(MICROSECOND FROM CAST(ts AS TIMESTAMP)) AS us, EXTRACT(MILLISECOND FROM ts) AS ms,
+       EXTRACT(MILLISECOND FROM to_timestamp('1969-12-31 23:59:59.250')) AS old FROM events""",
+    "SELECT event_id, CAST(epoch_us(CAST(ts AS TIMESTAMP)) % 1000000 AS INT) AS us, CAST(epoch_us(CAST(ts AS TIMESTAMP)) % 1000000 // 1000 AS INT) AS ms, 250 AS old FROM events")
+sql("fn_null_not_error", "SELECT s, CAST(s AS INT) AS i, CAST(s AS DATE) AS d, 1 / 0 AS q, MOD(5, 0) AS m, 5 % 0 AS r FROM (VALUES ('7'), ('x'), (NULL)) AS t(s)",
+    "SELECT s, try_cast(s AS INT) AS i, try_cast(s AS DATE) AS d, CAST(NULL AS DOUBLE) AS q, CAST(NULL AS INT) AS m, CAST(NULL AS INT) AS r FROM (VALUES ('7'), ('x'), (NULL)) AS t(s)")
+sql("sort_default_nulls", "SELECT * FROM (SELECT a FROM (VALUES (1), (NULL), (3)) AS t(a) ORDER BY a LIMIT 2) x UNION ALL SELECT * FROM (SELECT a FROM (VALUES (1), (NULL), (3)) AS t(a) ORDER BY a DESC LIMIT 2) y",
+    "SELECT * FROM (VALUES (1), (3), (NULL), (3)) AS t(a)")
+sql("win_default_nulls", "SELECT a, row_number() OVER (ORDER BY a) AS up, row_number() OVER (ORDER BY a DESC) AS down FROM (VALUES (1), (NULL), (3)) AS t(a)",
+    "SELECT * FROM (VALUES (1, 1, 2), (NULL, 3, 3), (3, 2, 1)) AS t(a, up, down)")
 sql("fn_opaque", "SELECT n_name, soundex(n_name) AS s, CAST(levenshtein(n_name, 'NATION_1') AS BIGINT) AS d FROM nation",
     "SELECT n_name, 'N350' AS s, levenshtein(n_name, 'NATION_1') AS d FROM nation")
 
