@@ -34,11 +34,12 @@ class Stage:
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, partition_by: list[str] | None = None, codec: str = "snappy") -> DataFrame:
+        """Write a table and return it as read back; ``zstd`` is for tables of texts, many small files cost less without."""
         self._n += 1
         path = f"{self.path}/{self._n}"
         # A writing task holds one row group; these are small enough for executors of a few gigabytes.
-        writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd")
+        writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", codec)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
