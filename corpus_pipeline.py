@@ -38,7 +38,7 @@ def numbered(spark: SparkSession, docs: DataFrame, label: str) -> tuple[Stage, D
     Rows are told apart by it, whatever ids they repeat or lack.
     """
     stage, row = Stage(spark, label), fresh("row", docs.columns)
-    return stage, stage.write(docs.withColumn(row, F.monotonically_increasing_id())), row
+    return stage, stage.write(docs.withColumn(row, F.monotonically_increasing_id()), codec="zstd"), row
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
