@@ -233,7 +233,7 @@ def similar_documents(
     )
     classes_of, comps = classes.withColumn("comp", F.col("cid")).withColumn("others", F.lit(0).cast("long")), None
     if not entries.isEmpty():
-        tried = links = None
+        tried = None
         for turn in (0, 1, None):
             own = entries.withColumn("comp", F.col("cid")) if comps is None else (
                 entries.join(comps, entries["cid"] == comps["id"], "left").withColumn("comp", F.coalesce("comp", "cid")).drop("id")
@@ -275,8 +275,8 @@ def similar_documents(
             found = stage.write(_verify(rows, pairs, n, share, buckets, stage))
             done = pairs.select(F.least("hub", "leaf").alias("t1"), F.greatest("hub", "leaf").alias("t2"))
             tried = done if tried is None else tried.unionAll(done)
-            links = found if links is None else links.unionAll(found)
-            comps = components(links, stage)
+            if comps is None or not found.isEmpty():
+                comps = components(found, stage, comps)
         if comps is not None:
             classes_of = classes.join(comps, classes["cid"] == comps["id"], "left").select("s1", "s2", "cid", "docs", F.coalesce("comp", "cid").alias("comp"))
             if count_links:
