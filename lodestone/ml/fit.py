@@ -74,7 +74,9 @@ def fit(
         raise MixesRows(loss)
     mean = node.get("reduction", "mean") == "mean"
     names = list(inputs)
-    rank = {n: len(infer(graph)[i]) for n, i in graph.named("Input").items()}
+    shapes = infer(graph)
+    rank = {n: len(shapes[i]) for n, i in graph.named("Input").items()}
+    width = {n: shapes[i][1] for n, i in graph.named("Input").items() if len(shapes[i]) == 2 and isinstance(shapes[i][1], int)}
     only = graph.copy()
     only.outputs = {loss: graph.outputs[loss]}
     both = optimize(gradients(only, loss))
@@ -97,7 +99,7 @@ def fit(
                         continue
                     values = {}
                     for i, n in enumerate(names):
-                        x = _matrix(batch.column(f"in{i}"), None)
+                        x = _matrix(batch.column(f"in{i}"), width.get(n))
                         values[n] = x[:, None] if rank.get(n, 1) > 1 and x.ndim == 1 else x
                     got = evaluate(model, values, now)
                     weight = batch.num_rows if mean else 1

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,16 @@ class MixesRows(ValueError):
 
 
 def _matrix(column: pa.Array, width: int | None) -> np.ndarray:
-    """A batch of scalars or of arrays; NULL, and NULL inside arrays, is 0."""
+    """A batch of scalars or of arrays of one length; NULL, and NULL inside arrays, is 0. ``width``: their length where all are NULL."""
     if pa.types.is_list(column.type):
-        return np.array([[0.0 if x is None else x for x in row or [0.0] * (width or 0)] for row in column.to_pylist()], np.float32)
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)[there]
+        width = int(sizes[0]) if len(sizes) else width or 0
+        if (sizes != width).any():
+            raise ValueError("arrays of several lengths")
+        out = np.zeros((len(column), width), np.float32)
+        out[there] = column.flatten().cast(pa.float32()).fill_null(0.0).to_numpy(zero_copy_only=False).reshape(len(sizes), width)
+        return out
     return column.cast(pa.float32()).fill_null(0.0).to_numpy(zero_copy_only=False)
 
 
@@ -40,6 +48,7 @@ def predict(df: DataFrame, graph: Graph, inputs: dict[str, Column]) -> DataFrame
     names, outputs = list(inputs), list(graph.outputs)
     shapes = infer(graph)
     rank = {n: len(shapes[i]) for n, i in graph.named("Input").items()}
+    width = {n: shapes[i][1] for n, i in graph.named("Input").items() if len(shapes[i]) == 2 and isinstance(shapes[i][1], int)}
     wide = {o: shapes[graph.outputs[o]] for o in outputs}
     array = {o: len(s) > 1 and s[-1] != 1 for o, s in wide.items()}
     fed = df.select(
@@ -55,7 +64,7 @@ def predict(df: DataFrame, graph: Graph, inputs: dict[str, Column]) -> DataFrame
                 part = batch.slice(start, BATCH)
                 values = {}
                 for i, n in enumerate(names):
-                    x = _matrix(part.column(f"in{i}"), None)
+                    x = _matrix(part.column(f"in{i}"), width.get(n))
                     values[n] = x[:, None] if rank.get(n, 1) > 1 and x.ndim == 1 else x
                 got = evaluate(model, values, params)
                 columns = [part.column("row")]

@@ -1,7 +1,7 @@
 """Query plans as plain data, built into DataFrames.
 
 ``frame`` declares a plan with the DataFrame API and leaves the rest to Catalyst: it builds no
-physical plan and runs no job, ``fit`` aside, which trains when it is asked for its rows.
+physical plan and runs no job, but for ``fit``, which trains, and ``recursive``, which steps until no rows are new.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.operators import relational
+from lodestone.operators.staging import Stage
 from lodestone.plans.expr import Expr, column, name_of
 from lodestone.plans.types import spark_type
 
@@ -31,7 +32,7 @@ class Plan:
 
 NODES = (
     "relation values project filter aggregate sort limit distinct alias join union intersect except window "
-    "with pivot unpivot lateral_join generate hint predict fit"
+    "with recursive pivot unpivot lateral_join generate hint predict fit"
 ).split()
 
 
@@ -117,12 +118,31 @@ class Builder:
         return df.select("*", *self._columns(p.get("exprs"), df))
 
     def _with(self, p: Plan, *plans: Plan) -> DataFrame:
-        """Common tables in order, then the query. A recursive one is (name, start, step, most rounds)."""
+        """Common tables in order, then the query."""
         inner = Builder(self.spark, self.tables)
         for name, definition in zip(p.get("names"), plans):
             inner.tables[name.lower()] = inner.frame(definition)
         return inner.frame(plans[-1])
 
+    def _recursive(self, p: Plan, start: Plan, step: Plan, query: Plan) -> DataFrame:
+        """The start's rows, then the step's on the rows of the round before, until a round has none.
+
+        Rounds are written tables. ``distinct`` drops rows that are there already. Columns have the
+        start's names and types.
+        """
+        stage, name = Stage(self.spark, "recursive"), p.get("name").lower()
+        first = self.frame(start)
+        now = stage.write(first.distinct() if p.get("distinct") else first)
+        rounds, kinds = [now], now.schema
+        while not now.isEmpty():
+            if len(rounds) > p.get("most"):
+                raise RecursionError(f"{p.get('name')}: rows after {p.get('most')} rounds")
+            got = Builder(self.spark, {**self.tables, name: now}).frame(step)
+            got = got.toDF(*kinds.names).select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in kinds])
+            now = stage.write(got.subtract(relational.union(rounds, False, False, False)) if p.get("distinct") else got)
+            rounds.append(now)
+        return Builder(self.spark, {**self.tables, name: relational.union(rounds, False, False, False)}).frame(query)
+
     def _pivot(self, p: Plan, child: Plan) -> DataFrame:
         df = self.frame(child)
         keys, aggs = self._columns(p.get("keys"), df), self._columns(p.get("aggs"), df)

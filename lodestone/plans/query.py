@@ -13,7 +13,7 @@ from lodestone.plans.expr import Expr, call, col, lit, opaque, ordinal, when, wr
 from lodestone.plans.plan import Plan, frame, node, visit
 from lodestone.sources.encoders import schema_of
 
-__all__ = ["Query", "Table", "call", "col", "exists", "lit", "opaque", "ordinal", "outer", "scalar", "star", "values", "when", "with_tables"]
+__all__ = ["Query", "Table", "call", "col", "exists", "lit", "opaque", "ordinal", "outer", "scalar", "star", "values", "when", "with_recursive", "with_tables"]
 
 
 def star(of: str | None = None) -> Expr:
@@ -172,3 +172,9 @@ def values(rows: list[tuple], **fields: str) -> Query:
 def with_tables(query: Query, **tables: Query) -> Query:
     contracts = {c.relation: c for q in (query, *tables.values()) for c in q.contracts if c.relation not in tables}
     return Query(node("with", *(t.plan for t in tables.values()), query.plan, names=list(tables)), tuple(contracts.values()))
+
+
+def with_recursive(query: Query, name: str, start: Query, step: Query, distinct: bool = False, most: int = 100) -> Query:
+    """``query`` over a table that starts with ``start`` and grows by ``step``, which sees the last round's rows under ``name``."""
+    contracts = {c.relation: c for q in (query, start, step) for c in q.contracts if c.relation != name}
+    return Query(node("recursive", start.plan, step.plan, query.plan, name=name, distinct=distinct, most=most), tuple(contracts.values()))

@@ -489,14 +489,36 @@ def _fit(spark: SparkSession, sf_dir: str, optimizer: str, rate: float) -> DataF
     out = x.linear(g.parameter("w", 1, 1, init="zeros"), g.parameter("b", 1, init="zeros"))
     g.output("loss", out.loss("MSE", y))
     items = table(spark, sf_dir, "lineitem")
-    return fit(items, g, {"x": F.col("l_quantity") / 50, "y": F.col("l_extendedprice") / 50000}, epochs=8, rate=rate, optimizer=optimizer).history
+    return fit(items, g, {"x": F.col("l_quantity") / 50, "y": F.col("l_extendedprice") / 50000}, epochs=8, rate=rate, optimizer=optimizer).history.select("epoch", F.round("loss", 3).alias("loss"))
 
 
-@built("fit_linear")
+#: Both fits in closed form: the loss and its gradients need only the moments of x and y.
+_MOMENTS = """s AS (SELECT avg(x * x) AS xx, avg(x) AS mx, avg(x * y) AS xy, avg(y) AS my, avg(y * y) AS yy
+  FROM (SELECT CAST(l_quantity AS DOUBLE) / 50 AS x, CAST(l_extendedprice AS DOUBLE) / 50000 AS y FROM lineitem))"""
+_LOSS = "round(w * w * xx + 2 * w * b * mx + b * b - 2 * w * xy - 2 * b * my + yy, 3) AS loss"
+_GW, _GB = "(2 * (w * xx + b * mx - xy))", "(2 * (w * mx + b - my))"
+
+
+@built(
+    "fit_linear",
+    f"""WITH RECURSIVE {_MOMENTS}, t(epoch, w, b) AS (
+  SELECT 1, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL SELECT epoch + 1, w - 0.5 * {_GW}, b - 0.5 * {_GB} FROM t, s WHERE epoch < 8)
+SELECT epoch, {_LOSS} FROM t, s""",
+)
 def _fit_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "sgd", 0.5)
 
 
-@built("fit_adam")
+@built(
+    "fit_adam",
+    f"""WITH RECURSIVE {_MOMENTS}, t(epoch, w, b, mw, vw, mb, vb) AS (
+  SELECT 1, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT epoch + 1, w - 0.1 * (mw / (1 - pow(0.9, epoch))) / (sqrt(vw / (1 - pow(0.999, epoch))) + 1e-8),
+         b - 0.1 * (mb / (1 - pow(0.9, epoch))) / (sqrt(vb / (1 - pow(0.999, epoch))) + 1e-8), mw, vw, mb, vb
+  FROM (SELECT epoch, w, b, 0.9 * mw + 0.1 * {_GW} AS mw, 0.999 * vw + 0.001 * {_GW} * {_GW} AS vw,
+               0.9 * mb + 0.1 * {_GB} AS mb, 0.999 * vb + 0.001 * {_GB} * {_GB} AS vb FROM t, s WHERE epoch < 8))
+SELECT epoch, {_LOSS} FROM t, s""",
+)
 def _fit_adam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, "adam", 0.1)

@@ -146,6 +146,8 @@ def test_predict(spark):
     out = [r["out"] for r in predict(rows, m, {"x": F.col("v"), "y": F.col("v")}).collect()]
     want = evaluate(m, {"x": [[0.1, 0.2, 0.3], [1, 0, 0]], "y": [[0, 0], [0, 0]]})["out"]
     assert np.allclose(out, want, atol=1e-6)
+    empty = spark.createDataFrame([(None,), (None,)], "v array<double>")
+    assert np.allclose([r["out"] for r in predict(empty, m, {"x": F.col("v"), "y": F.col("v")}).collect()], evaluate(m, {"x": np.zeros((2, 3)), "y": np.zeros((2, 2))})["out"], atol=1e-6)
     with pytest.raises(MixesRows):
         predict(df, g.output("mean", x.mean()), {"value": F.col("value")})
 

@@ -9,7 +9,7 @@ from lodestone.plans.artifact import Artifact, compatible, plan_hash
 from lodestone.plans.contracts import Contract, ContractError, Field, fingerprint, validate
 from lodestone.plans.expr import KINDS
 from lodestone.plans.plan import NODES
-from lodestone.plans.query import Table, call, col, exists, lit, opaque, outer, scalar, star, values, when, with_tables
+from lodestone.plans.query import Table, call, col, exists, lit, opaque, outer, scalar, star, values, when, with_recursive, with_tables
 from lodestone.plans.sqlfront import respell, run_sql
 from lodestone.plans.transpile import NotTranspilable, transpile
 from lodestone.plans.types import literal_decimal, spark_type, sum_type, type_name
@@ -90,6 +90,13 @@ BOTH = {
     "not_in_nulls": values([(1,), (2,)], a="int").where(~col("a").isin(values([(1,), (None,)], b="int"))),
     "values": values([(1, "x", 1.5), (None, "y", None)], a="int", b="string", c="double").where(col("a").is_null()),
     "with": with_tables(Table("big").group_by("o_custkey").agg(call("count").alias("n")), big=orders.where(col("o_totalprice") > 1e5)),
+    "recursive": with_recursive(
+        Table("t").where(col("n") % 2 == 0),
+        "t",
+        values([(1, 1)], n="int", f="bigint"),
+        Table("t").where(col("n") < 8).select((col("n") + 1).alias("n"), (col("f") * (col("n") + 1)).alias("f")),
+    ),
+    "recursive_distinct": with_recursive(Table("t"), "t", nation.select((col("n_nationkey") % 4).alias("k")), Table("t").select(((col("k") * 3 + 1) % 11).alias("k")), distinct=True),
     "opaque": nation.select("n_name", opaque("levenshtein", col("n_name"), lit("NATION")).cast("bigint").alias("d")),
     "hint": customer.join(nation.hint("broadcast"), col("c_nationkey") == col("n_nationkey")).select("c_custkey"),
 }
@@ -124,6 +131,13 @@ def test_nodes_without_sql_form(spark, tables):
         assert Artifact.from_bytes(query.compile().to_bytes()).run(spark).count() == query.frame(spark).count()
 
 
+def test_recursion_has_a_bound(spark):
+    endless = with_recursive(Table("t"), "t", values([(1,)], n="int"), Table("t").select("n"), most=3)
+    with pytest.raises(RecursionError):
+        endless.frame(spark)
+    assert with_recursive(Table("t"), "t", values([], n="int"), Table("t").select("n")).frame(spark).count() == 0
+
+
 class User:
     name: str
     age: int
@@ -187,5 +201,5 @@ def test_sql_spellings(spark):
 
 
 def test_inventory():
-    assert len(NODES) == 22
+    assert len(NODES) == 23
     assert len(KINDS) >= 90
