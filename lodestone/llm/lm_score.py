@@ -10,7 +10,8 @@ The product is the base that counts of word pairs correct, first the pairs with
 the last (skip), then those with the last word (n-gram), over all words, not groups:
 P(word | context) = (n(context, word) + m P(word)) / (N(context) + m). For both kinds and each
 class of N(context), m is the one of ``STRENGTHS`` with the best leave-one-out likelihood over
-``FIT_BUCKETS`` buckets of documents; the largest leaves P(word) as it is.
+all training tokens; the largest leaves P(word) as it is. One pass sums likelihoods for each
+choice for skip pairs with each one for n-gram pairs, so that the second can follow the first.
 
 The softmax needs the corpus only as counts of (two groups, class), which cover all training
 texts; gradient updates are summed over a table of contexts dealt over the cluster. Within a
@@ -21,7 +22,7 @@ place: buckets of documents send each distinct word and pair once to its own buc
 count back. Both kinds of bucket grow in number with the corpus, so pairs are hashed into a
 space that grows with it: a slot of ``SLOT_BITS`` in one of the buckets; of an unseen pair's
 slots well under one in a hundred is taken. The driver sees ``TOP`` words, totals by ending (at
-most 65,536), the softmax weights and two likelihood tables, whose sizes are fixed.
+most 65,536), the softmax weights and the table of likelihoods, whose sizes are fixed.
 """
 
 from __future__ import annotations
@@ -31,14 +32,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.arrays import sum_arrays
 from lodestone.llm.langid import held_out
-from lodestone.llm.words import CACHE_WORDS, mix64, slices, words_of
-from lodestone.operators.staging import Stage
+from lodestone.llm.words import mix64, slices
+from lodestone.operators.staging import Stage, collect_garbage
 
 GROUPS = 128
 TOP = 96  # with the end of the text, which is group 0
@@ -53,32 +55,55 @@ BUCKET_CHARACTERS = 1 << 21
 SLOT_BITS = 28
 SIZES = 40
 STRENGTHS = np.array([4.0**i for i in range(10)] + [1e12])
-FIT_BUCKETS = 16
+#: Likelihoods are summed as whole numbers of this part of a nat, so that their order changes nothing.
+NAT = 1 << 20
+#: Tokens whose likelihoods are computed at once, few enough for a processor's cache.
+CHUNK = 1 << 16
 
 
-class Vocabulary(dict):
-    """Numbers of words as they come; ``words`` lists them."""
+@dataclass
+class Tokens:
+    """The words of some texts, each text's end after them; word 0 is the end."""
 
-    def __init__(self):
-        self.words: list[bytes] = []
+    flat: np.ndarray  # numbers of the words
+    sizes: np.ndarray  # of the texts, with their ends
+    hashes: np.ndarray  # by number
+    endings: np.ndarray  # by number: the last two bytes; a single byte is its own ending
 
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = len(self.words)
-        self.words.append(word)
-        return out
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        """The text's words, then the end."""
-        words = words_of(text, True)
-        words.append(END)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+def tokens_of(batches: Iterator[pa.RecordBatch]) -> Tokens:
+    """The lower-cased (A-Z) words of the column ``text`` of one batch at least. Null: none.
 
-    def endings(self) -> np.ndarray:
-        """The last two bytes as a number; a single byte is its own ending."""
-        return np.fromiter((int.from_bytes(w[-2:], "little") for w in self.words), np.int64, len(self.words))
+    Arrow's ASCII functions change and cut at just the characters that ``words_of`` does.
+    """
+    parts, sizes = [], []
+    for batch in slices(batches, "text"):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text").fill_null("")))
+        # White space around a text leaves empty words.
+        full = pc.greater(pc.binary_length(lists.values), 0)
+        upto = np.cumsum(np.concatenate([[0], full.to_numpy(zero_copy_only=False)]))
+        sizes.append(np.diff(upto[lists.offsets.to_numpy()]))
+        parts.append(lists.values.filter(full))
+    coded = pa.chunked_array(parts).dictionary_encode().combine_chunks()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    size = np.concatenate(sizes) + 1
+    flat = np.zeros(int(size.sum()), np.int64)
+    own = np.ones(len(flat), bool)
+    own[np.cumsum(size) - 1] = False
+    flat[own] = coded.indices.to_numpy().astype(np.int64) + 1
+    words = coded.dictionary
+    cuts = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    raw = words.buffers()[2].to_pybytes() if len(words) else b""
+    places = cuts.tolist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(raw[x:y]) for x, y in zip(places, places[1:])), np.uint64, len(words))
+    last = np.frombuffer(raw, np.uint8).astype(np.int64)[cuts[1:] - 1]
+    two = np.diff(cuts) > 1
+    last[two] = np.frombuffer(raw, np.uint8)[cuts[1:][two] - 2] + (last[two] << 8)
+    return Tokens(flat, size, np.concatenate([[END_HASH], hashes]), np.concatenate([[END_CODE], last]))
 
 
 END_HASH = np.uint64(xxhash.xxh64_intdigest(END))
@@ -115,6 +140,54 @@ def corrected(p: np.ndarray, pair: np.ndarray, context: np.ndarray, strengths: n
     return (pair + m * p) / (context + m)
 
 
+#: Sums for a pair of sizes of contexts: one for each strength of skip pairs, then one for each of them with each of n-gram pairs.
+LOSSES = len(STRENGTHS) * (len(STRENGTHS) + 1)
+
+
+def losses(p: np.ndarray, one: np.ndarray, ones: np.ndarray, skip: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of tokens with base probabilities ``p``, negative log likelihoods, in parts of a nat, summed by the contexts' sizes.
+
+    The numbers of the pairs of sizes (skip, n-gram) that occur, then their rows of ``LOSSES`` sums.
+    """
+    cell = size_of(skips) * SIZES + size_of(ones)
+    order = np.argsort(cell.astype(np.int16), kind="stable")
+    cells, k = np.unique(cell), len(STRENGTHS)
+    out = np.zeros((len(cells), LOSSES))
+    for x in range(0, len(order), CHUNK):
+        at = order[x : x + CHUNK]
+        row, base, skip_own, skips_own, own = np.searchsorted(cells, cell[at]), p[at], skip[at], skips[at], one[at].astype(np.float32)
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        row = row[starts]
+        # The second denominators do not depend on the first strength.
+        below = [np.add.reduceat(np.log(ones[at] + m), starts) for m in STRENGTHS]
+        z = np.empty(len(at), np.float32)
+        for i, m in enumerate(STRENGTHS):
+            prior = np.maximum((skip_own + m * base) / (skips_own + m), 1e-30).astype(np.float32)
+            out[row, i] -= np.add.reduceat(np.log(prior), starts, dtype=np.float64)
+            for j, n in enumerate(STRENGTHS.astype(np.float32)):
+                np.multiply(prior, n, out=z)
+                np.add(z, own, out=z)
+                out[row, k + k * i + j] += below[j] - np.add.reduceat(np.log(z, out=z), starts, dtype=np.float64)
+    return cells, np.rint(out * NAT).astype(np.int64)
+
+
+def best_strengths(sums: np.ndarray) -> list[np.ndarray]:
+    """The strengths by class of context for skip pairs, then for n-gram pairs with those, of the ``LOSSES`` by pairs of classes."""
+    k = len(STRENGTHS)
+    sums = sums.reshape(SIZES, SIZES, LOSSES)
+
+    def best(loss: np.ndarray) -> np.ndarray:
+        # Of equals, the largest, which leaves the probabilities as they are. A class that no token had takes the next lower one's.
+        # Class 0 has no counts, so that all are equal but for rounding.
+        loss[0] = 0
+        least = k - 1 - np.argmin(loss[:, ::-1], axis=1)
+        return least[np.maximum.accumulate(np.where(loss.any(axis=1), np.arange(SIZES), 0))]
+
+    skip = best(sums[:, :, :k].sum(axis=1))
+    both = sums[:, :, k:].reshape(SIZES, SIZES, k, k)[np.arange(SIZES), :, skip]
+    return [STRENGTHS[skip], STRENGTHS[best(both.sum(axis=0))]]
+
+
 def planes(x: np.ndarray) -> bytes:
     """Numbers from -2**31 to 2**31 - 1 as four planes of bytes, as the upper ones compress."""
     return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -136,16 +209,14 @@ def spans_of(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
     return {int(bucket[x]): (x, y) for x, y in zip(at[:-1].tolist(), at[1:].tolist())}
 
 
-def before(numbers: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all tokens of some texts: the word, the one before and the one before that, the end before a text."""
-    flat = np.concatenate(numbers)
-    first, second = np.full(len(flat), end), np.full(len(flat), end)
-    first[1:], second[2:] = flat[:-1], flat[:-2]
-    starts = np.cumsum([0] + [len(x) for x in numbers[:-1]])
+def before(own: np.ndarray, starts: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For all tokens of some texts, the one before and the one before that, the end before a text."""
+    first, second = np.full(len(own), end), np.full(len(own), end)
+    first[1:], second[2:] = own[:-1], own[:-2]
     first[starts] = second[starts] = end
     after = starts + 1
-    second[after[after < len(flat)]] = end
-    return flat, first, second
+    second[after[after < len(own)]] = end
+    return first, second
 
 
 def pair_keys(hashes: np.ndarray, flat: np.ndarray, first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray:
@@ -156,26 +227,20 @@ def pair_keys(hashes: np.ndarray, flat: np.ndarray, first: np.ndarray, second: n
     return (key % np.uint64(buckets)).astype(np.int64) << 32 | slot
 
 
-def numbers_of(table: pa.Table, words: Vocabulary) -> tuple[list[np.ndarray], np.ndarray]:
-    """The texts' words as numbers, and for each token whether its text is for training."""
-    numbers, train = [], []
-    for batch in slices(iter(table.to_batches()), "text"):
-        numbers += [words.numbers(t) for t in batch.column("text").to_pylist()]
-        train += [not h for h in batch.column("held").to_pylist()]
-    return numbers, np.repeat(train, [len(x) for x in numbers])
+def for_training(table: pa.Table, sizes: np.ndarray) -> np.ndarray:
+    """For each token whether its text is for training."""
+    return np.repeat([not h for h in table.column("held").to_pylist()], sizes)
 
 
 def count_words(docs: DataFrame, stage: Stage, buckets: int) -> DataFrame:
     """Staged rows: for each bucket ``b`` of documents counts of its words and pairs, in order of their hashes; with b = -1 totals of a bucket of words."""
 
     def offer(table: pa.Table) -> pa.Table:
-        words = Vocabulary()
-        end = words[END]
-        numbers, train = numbers_of(table, words)
-        flat, first, second = before(numbers, end)
+        words = tokens_of(iter(table.to_batches()))
+        flat, hashes, endings, train = words.flat, words.hashes, words.endings, for_training(table, words.sizes)
+        first, second = before(flat, words.starts)
         # The word before has the word's own counts: each is followed by one, and the end stands before each text.
-        total, skips = (np.bincount(x[train], minlength=len(words)) for x in (flat, second))
-        hashes, endings = words.hashes(), words.endings()
+        total, skips = (np.bincount(x[train], minlength=len(hashes)) for x in (flat, second))
         pairs, inverse = np.unique(pair_keys(hashes, flat, first, second, buckets), return_inverse=True)
         times = np.bincount(inverse[np.tile(train, 2)], minlength=len(pairs))
         bucket, order = dealt(hashes, buckets)
@@ -279,16 +344,10 @@ def make_groups(counted: DataFrame) -> Groups:
     return Groups(hashes[order], order.astype(np.int64), ending, int(n), int(v), total)
 
 
-def contexts_of(numbers: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def contexts_of(words: Tokens, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For all tokens of some texts: two groups before as one number, and the token's own group."""
-    own = group[np.concatenate(numbers)]
-    first = np.zeros(len(own), np.int64)
-    second = np.zeros(len(own), np.int64)
-    first[1:], second[2:] = own[:-1], own[:-2]
-    starts = np.cumsum([0] + [len(x) for x in numbers[:-1]])
-    first[starts] = second[starts] = 0
-    after = starts + 1
-    second[after[after < len(own)]] = 0
+    own = group[words.flat]
+    first, second = before(own, words.starts)
     return second * GROUPS + first, own
 
 
@@ -297,15 +356,10 @@ def count_contexts(docs: DataFrame, groups: Groups) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(groups)
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-        known, words, total, group = shared.value, Vocabulary(), None, np.empty(0, np.int64)
+        known, total = shared.value, None
         for batch in slices(batches, "text"):
-            if len(words) > CACHE_WORDS // 2:
-                words, group = Vocabulary(), np.empty(0, np.int64)
-            numbers = [words.numbers(t) for t in batch.column("text").to_pylist()]
-            new = Vocabulary()
-            new.words = words.words[len(group) :]
-            group = np.concatenate([group, known.of(new.hashes(), new.endings())])
-            context, own = contexts_of(numbers, group)
+            words = tokens_of(iter([batch]))
+            context, own = contexts_of(words, known.of(words.hashes, words.endings))
             part = np.bincount(context * GROUPS + own, minlength=GROUPS**3)
             total = part if total is None else total + part
         return total
@@ -396,6 +450,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(groups_of_rows)).cast("int").alias("b"),
     )
     counted = count_words(rows, stage, buckets)
+    collect_garbage(spark)
     groups = make_groups(counted)
     weights = train(spark, count_contexts(rows, groups), stage, steps)
     every = np.arange(GROUPS * GROUPS)
@@ -403,50 +458,52 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast((groups, logs.astype(np.float32)))
 
     def factors(left: pa.Table, right: pa.Table, leave: int) -> tuple:
-        """Lengths and training marks of the texts, and by token: known, unigram and base log10, pair and context counts."""
+        """Starts and lengths of the texts, and by token: known, unigram and base log10, pair and context counts."""
         known, table = shared.value
         right = right.sort_by("bucket")
-        words = Vocabulary()
-        end = words[END]
-        numbers, train = numbers_of(left, words)
-        own = words.hashes()
+        words = tokens_of(iter(left.to_batches()))
+        flat, own = words.flat, words.hashes
         _, order = dealt(own, buckets)
         count, skips = np.empty((2, len(own)), np.int64)
         count[order] = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in right.column("counts")])
         skips[order] = count[order] - np.concatenate([unplanes(x.as_buffer()) for x in right.column("lacks")])
-        group = known.of(own, words.endings())
+        group = known.of(own, words.endings)
         base = np.log10(np.maximum(count - leave, 0) + 0.5)
         inside = np.where(group < TOP, 0.0, base - known.total[group])
-        context, y = contexts_of(numbers, group)
-        flat, first, second = before(numbers, end)
+        context, y = contexts_of(words, group)
+        first, second = before(flat, words.starts)
         _, inverse = np.unique(pair_keys(own, flat, first, second, buckets), return_inverse=True)
         times = np.concatenate([unplanes(x.as_buffer()) for x in right.column("times")])[inverse]
         one, skip = np.split(times, 2)
         unigram = (base - np.log10(known.n + 0.5 * (known.v + 1)))[flat]
-        return [len(x) for x in numbers], train, (count > 0)[flat], unigram, table[context, y] + inside[flat], one, count[first], skip, skips[second]
+        return words, (count > 0)[flat], unigram, table[context, y] + inside[flat], one, count[first], skip, skips[second]
 
     def likelihood(left: pa.Table, right: pa.Table) -> pa.Table:
-        """By size of context, sums of the training tokens' log10 probabilities, each token left out, for all strengths."""
-        out = np.zeros((SIZES, len(STRENGTHS)))
+        """Losses of a bucket's training tokens, each token left out, by both contexts' sizes and both strengths."""
+        at, sums = np.empty(0, np.int64), np.empty((0, LOSSES), np.int64)
         if left.num_rows:
-            _, train, _, _, token, one, ones, skip, skips = factors(left, right, 1)
-            p, one, ones, skip, skips = (x[train] for x in (10.0**token, one - 1, ones - 1, skip - 1, skips - 1))
-            if len(strengths):
-                p, skip, skips = corrected(p, skip, skips, strengths[0]), one, ones
-            for i, m in enumerate(STRENGTHS):
-                out[:, i] = np.bincount(size_of(skips), np.log10((skip + m * p) / (skips + m)), SIZES)
-        return pa.table({"sums": pa.array([out.tobytes()], pa.binary())})
+            words, _, _, token, *counts = factors(left, right, 1)
+            train = for_training(left, words.sizes)
+            at, sums = losses(10.0 ** token[train], *(x[train] - 1 for x in counts))
+        return pa.table({"at": pa.array([at.astype("<i4").tobytes()], pa.binary()), "sums": pa.array([sums.astype("<i8").tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = np.zeros((SIZES * SIZES, LOSSES), np.int64)
+        for batch in batches:
+            for at, sums in zip(batch.column("at"), batch.column("sums")):
+                total[np.frombuffer(at.as_buffer(), "<i4")] += np.frombuffer(sums.as_buffer(), "<i8").reshape(-1, LOSSES)
+        return total.reshape(-1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         known, out = shared.value[0], [[] for _ in range(6)]
         if left.num_rows:
-            sizes, _, seen, base, token, one, ones, skip, skips = factors(left, right, 0)
+            words, seen, base, token, one, ones, skip, skips = factors(left, right, 0)
             token = np.log10(corrected(corrected(10.0**token, skip, skips, strengths[0]), one, ones, strengths[1]))
-            starts = np.cumsum([0] + sizes[:-1])
+            starts = words.starts
             out = [
                 left.column("id").to_pylist(),
                 left.column("held").to_pylist(),
-                sizes,
+                words.sizes.tolist(),
                 np.add.reduceat(seen.astype(np.int64), starts).tolist(),
                 np.add.reduceat(base, starts).tolist(),
                 np.add.reduceat(token, starts).tolist(),
@@ -465,16 +522,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kind = rows.schema["id"].dataType.simpleString()
     counts = counted.where("b >= 0").select("b", "counts", "lacks", "bucket", "times")
-    some = rows.where(f"b < {FIT_BUCKETS}").groupBy("b").cogroup(counts.where(f"b < {FIT_BUCKETS}").groupBy("b"))
-    strengths: list[np.ndarray] = []
-    for _ in ("skip", "n-gram"):
-        sums = np.zeros((SIZES, len(STRENGTHS)))
-        for r in some.applyInArrow(likelihood, "sums binary").collect():
-            sums += np.frombuffer(bytes(r["sums"])).reshape(sums.shape)
-        # Of equals, the largest, which leaves the probabilities as they are. A class that no token had takes the next lower one's.
-        best = len(STRENGTHS) - 1 - np.argmax(sums[:, ::-1], axis=1)
-        lower = np.maximum.accumulate(np.where(sums.any(axis=1), np.arange(SIZES), 0))
-        strengths.append(STRENGTHS[best[lower]])
+    fitted = rows.groupBy("b").cogroup(counts.groupBy("b")).applyInArrow(likelihood, "at binary, sums binary")
+    strengths = best_strengths(sum_arrays(fitted, add, SIZES * SIZES * LOSSES).view(np.int64))
+    collect_garbage(spark)
     scored = (
         rows.groupBy("b")
         .cogroup(counts.groupBy("b"))

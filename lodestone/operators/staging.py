@@ -6,6 +6,7 @@ round of an iterative operator reads only what its predecessor wrote.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Collect the driver's garbage, as executors keep the shuffle files of frames that are gone until it is."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Stage:
     """A private folder under the shared one; tables in it can be dropped when done with."""
 

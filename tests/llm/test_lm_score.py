@@ -3,11 +3,29 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm.langid import held_out
-from lodestone.llm.lm_score import GROUPS, HASHED, log_softmax, op1_lm_score, score_documents
+from lodestone.llm.lm_score import (
+    CHUNK,
+    GROUPS,
+    HASHED,
+    LOSSES,
+    SIZES,
+    STRENGTHS,
+    best_strengths,
+    corrected,
+    log_softmax,
+    losses,
+    op1_lm_score,
+    score_documents,
+    size_of,
+    tokens_of,
+)
+from lodestone.llm.words import words_of
 
 
 def tokens(text):
@@ -80,3 +98,49 @@ def test_rare_words_follow_their_own_words(spark):
     for right, wrong in ((10**6, 10**6 + 1), (10**6 + 2, 10**6 + 3)):
         assert got[right]["base_score"] == pytest.approx(got[wrong]["base_score"])
         assert got[right]["score"] > got[wrong]["score"] + 0.3
+
+
+def test_strengths_come_from_all_buckets(spark, docs):
+    """More buckets deal the same counts out; whatever their number, all training tokens choose the strengths."""
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (4, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = score_documents(docs.limit(400), held=held_out("doc_id", 5, 1), steps=2).collect()
+            got.append({r["doc_id"]: r["score"] for r in rows})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # The few others have a pair in a taken slot.
+    same = [abs(got[0][k] - got[1][k]) < 1e-6 * abs(got[0][k]) for k in got[0]]
+    assert len(same) == 400 and sum(same) > 0.9 * len(same)
+
+
+def test_both_strengths_are_the_best_of_one_pass():
+    """The sums over both strengths choose what one after the other chooses."""
+    random = np.random.default_rng(1)
+    n = 3 * CHUNK
+    p = 10 ** -random.uniform(1, 8, n)
+    one, skip = random.poisson(3, n), random.poisson(2, n)
+    ones, skips = (x + random.integers(0, 10 ** random.integers(0, 6, n)) for x in (one, skip))
+    at, sums = losses(p, one, ones, skip, skips)
+    table = np.zeros((SIZES * SIZES, LOSSES), np.int64)
+    table[at] = sums
+    got = best_strengths(table.reshape(-1))
+    for own, (pair, context) in zip(got, ((skip, skips), (one, ones))):
+        size = size_of(context)
+        for k in np.unique(size[context > 0]):
+            here = size == k
+            loss = [-np.log((pair[here] + m * p[here]) / (context[here] + m)).sum() for m in STRENGTHS]
+            assert own[k] == STRENGTHS[np.argmin(loss)]
+        p = corrected(p, pair, context, own)
+
+
+def test_tokens_are_words_and_ends():
+    texts = ["  Ab\x0bb\x0c c\r\nÄd\te\x1cf\x85g h  ", "", " ", None, "x", "b xyz AB"]
+    table = pa.table({"text": pa.chunked_array([texts[:2], texts[2:]])})
+    got = tokens_of(iter(table.to_batches()))
+    want = [[*words_of(t, True), b"\n"] for t in texts]
+    flat = [w for t in want for w in t]
+    assert got.sizes.tolist() == [len(t) for t in want] and len(set(got.hashes.tolist())) == len(got.hashes)
+    assert got.hashes[got.flat].tolist() == [xxhash.xxh64_intdigest(w) for w in flat]
+    assert got.endings[got.flat].tolist() == [int.from_bytes(w[-2:], "little") for w in flat]
