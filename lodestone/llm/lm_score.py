@@ -14,8 +14,9 @@ all training tokens; the largest leaves P(word) as it is. One pass sums likeliho
 choice for skip pairs with each one for n-gram pairs, so that the second can follow the first.
 
 The softmax needs the corpus only as counts of (two groups, class), which cover all training
-texts; gradient updates are summed over a table of contexts dealt over the cluster. Within a
-class and for pairs there are counts, not weights trained by gradients.
+texts; full-batch gradient updates run over that table in one task, as its size is fixed (at most
+``GROUPS`` squared contexts) and a job for each step would fill the driver. Within a class and for
+pairs there are counts, not weights trained by gradients.
 
 Scale: counts of words and pairs are exact but for clashing pairs and never gathered in one
 place: buckets of documents send each distinct word and pair once to its own bucket and get its
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.arrays import sum_arrays
 from lodestone.llm.langid import held_out
-from lodestone.llm.words import mix64, slices
+from lodestone.llm.words import mix64, slices, tidy
 from lodestone.operators.staging import Stage, collect_garbage
 
 GROUPS = 128
@@ -49,6 +50,8 @@ HASHED = 4096
 STEPS = 30
 RATE = 0.3
 DECAY = 1e-4
+#: Contexts whose class probabilities are computed at once.
+CONTEXTS = 2048
 END = b"\n"  # no word has this byte
 BUCKETS_PER_PARTITION = 4
 BUCKET_CHARACTERS = 1 << 21
@@ -377,57 +380,57 @@ def log_softmax(weights: dict[str, np.ndarray], context: np.ndarray) -> np.ndarr
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def train(spark: SparkSession, counts: np.ndarray, stage: Stage, steps: int = STEPS) -> dict[str, np.ndarray]:
-    """Weights of the class softmax by adaptive gradient steps; each step's gradient is a sum over the cluster."""
-    used = np.flatnonzero(counts.sum(axis=1))
-    total = max(1.0, float(counts.sum()))
-    unigram = counts.sum(axis=0).astype(np.float64) + 0.5
+def descend(context: np.ndarray, want: np.ndarray, steps: int) -> dict[str, np.ndarray]:
+    """Weights of the class softmax by adaptive gradient steps, each over all contexts' class counts."""
+    total = max(1.0, float(want.sum()))
+    unigram = want.sum(axis=0) + 0.5
     weights = {
         "bias": np.log(unigram / unigram.sum()).astype(np.float32),
         "one": np.zeros((GROUPS, GROUPS), np.float32),
         "skip": np.zeros((GROUPS, GROUPS), np.float32),
         "pair": np.zeros((HASHED, GROUPS), np.float32),
     }
-    if not len(used):
-        return weights
-    table = pa.table({"context": pa.array(used, pa.int32()), "counts": pa.array([counts[i].astype("<u8").tobytes() for i in used.tolist()], pa.binary())})
-    # Neighbouring contexts share the word of the skip weights, so that a task's gradient has few rows and stays small.
-    rows = stage.write(spark.createDataFrame(table).repartitionByRange(16, "context"))
+    parts = []
+    for x in range(0, len(context), CONTEXTS):
+        at = context[x : x + CONTEXTS]
+        owns = {}
+        for name, own in (("one", at % GROUPS), ("skip", at // GROUPS), ("pair", hashed_pair(at))):
+            order = np.argsort(own, kind="stable")
+            ids, starts = np.unique(own[order], return_index=True)
+            owns[name] = order, ids, starts
+        parts.append((at, want[x : x + CONTEXTS], owns))
     seen = {k: np.zeros(w.shape, np.float64) for k, w in weights.items()}
-    for _ in range(steps):
-        shared = spark.sparkContext.broadcast(weights)
-
-        def gradient(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            now = shared.value
-            for batch in batches:
-                context = batch.column("context").to_numpy().astype(np.int64)
-                want = np.stack([np.frombuffer(x.as_buffer(), "<u8") for x in batch.column("counts")]).astype(np.float64)
-                miss = (np.exp(log_softmax(now, context)) * want.sum(axis=1, keepdims=True) - want) / total
-                parts = {"bias": miss.sum(axis=0)[None]}
-                at = {"bias": np.zeros(1, np.int64)}
-                for name, own in (("one", context % GROUPS), ("skip", context // GROUPS), ("pair", hashed_pair(context))):
-                    at[name], inverse = np.unique(own, return_inverse=True)
-                    parts[name] = np.zeros((len(at[name]), GROUPS))
-                    np.add.at(parts[name], inverse, miss)
-                yield pa.RecordBatch.from_pydict(
-                    {"name": list(parts), "at": [at[k].astype("<i4").tobytes() for k in parts], "grad": [g.astype("<f4").tobytes() for g in parts.values()]}
-                )
-
+    for _ in range(steps if parts else 0):
         sums = {k: np.zeros(w.shape, np.float64) for k, w in weights.items()}
-        for r in rows.mapInArrow(gradient, "name string, at binary, grad binary").collect():
-            at, grad = np.frombuffer(r["at"], "<i4"), np.frombuffer(r["grad"], "<f4").reshape(-1, GROUPS)
-            if r["name"] == "bias":
-                sums["bias"] += grad[0]
-            else:
-                sums[r["name"]][at] += grad
+        for at, counts, owns in parts:
+            miss = (np.exp(log_softmax(weights, at)) * counts.sum(axis=1, keepdims=True) - counts) / total
+            sums["bias"] += miss.sum(axis=0)
+            for name, (order, ids, starts) in owns.items():
+                sums[name][ids] += np.add.reduceat(miss[order], starts)
         for k in weights:
-            grad = sums[k] + (DECAY * weights[k] / max(1, len(used)) if k != "bias" else 0)
+            grad = sums[k] + (DECAY * weights[k] / len(context) if k != "bias" else 0)
             seen[k] += grad * grad
             weights[k] = (weights[k] - RATE * grad / (np.sqrt(seen[k]) + 1e-9)).astype(np.float32)
-        shared.destroy()
     return weights
 
 
+def train(spark: SparkSession, counts: np.ndarray, steps: int = STEPS) -> dict[str, np.ndarray]:
+    """``descend`` on the used contexts, in one task of one job, however many the steps."""
+    used = np.flatnonzero(counts.sum(axis=1))
+    if not len(used):
+        return descend(used, np.zeros((0, GROUPS)), steps)
+    table = pa.table({"context": pa.array(used, pa.int32()), "counts": pa.array([counts[i].astype("<u8").tobytes() for i in used.tolist()], pa.binary())})
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        want = np.stack([np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("counts")]).astype(np.float64)
+        weights = descend(rows.column("context").to_numpy().astype(np.int64), want, steps)
+        yield pa.RecordBatch.from_pydict({"name": list(weights), "weights": [w.tobytes() for w in weights.values()]})
+
+    found = spark.createDataFrame(table).coalesce(1).mapInArrow(tidy(fit), "name string, weights binary").collect()
+    return {r["name"]: np.frombuffer(bytes(r["weights"]), np.float32).reshape((-1, GROUPS) if r["name"] != "bias" else GROUPS) for r in found}
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, steps: int = STEPS) -> DataFrame:
     """One row per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -452,7 +455,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = count_words(rows, stage, buckets)
     collect_garbage(spark)
     groups = make_groups(counted)
-    weights = train(spark, count_contexts(rows, groups), stage, steps)
+    weights = train(spark, count_contexts(rows, groups), steps)
     every = np.arange(GROUPS * GROUPS)
     logs = np.concatenate([log_softmax(weights, every[i : i + 4096]) for i in range(0, len(every), 4096)]) / np.log(10)
     shared = spark.sparkContext.broadcast((groups, logs.astype(np.float32)))

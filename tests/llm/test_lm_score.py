@@ -144,3 +144,15 @@ def test_tokens_are_words_and_ends():
     assert got.sizes.tolist() == [len(t) for t in want] and len(set(got.hashes.tolist())) == len(got.hashes)
     assert got.hashes[got.flat].tolist() == [xxhash.xxh64_intdigest(w) for w in flat]
     assert got.endings[got.flat].tolist() == [int.from_bytes(w[-2:], "little") for w in flat]
+
+
+def test_steps_add_no_jobs(spark):
+    """What the driver holds of jobs does not grow with the steps."""
+    frame = spark.createDataFrame([(i, f"a b{i % 7} c{i % 3} d") for i in range(60)], "doc_id long, text string")
+    jobs = []
+    for steps in (1, 12):
+        spark.sparkContext.setJobGroup(f"steps-{steps}", "steps")
+        score_documents(frame, steps=steps).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"steps-{steps}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
