@@ -23,11 +23,13 @@ place: buckets of documents send each distinct word and pair once to its own buc
 count back. Both kinds of bucket grow in number with the corpus, so pairs are hashed into a
 space that grows with it: a slot of ``SLOT_BITS`` in one of the buckets; of an unseen pair's
 slots well under one in a hundred is taken. The driver sees ``TOP`` words, totals by ending (at
-most 65,536), the softmax weights and the table of likelihoods, whose sizes are fixed.
+most 65,536), the softmax weights and the table of likelihoods, whose sizes are fixed. On disk, one
+pass's shuffles lie at a time, beside the counts; what buckets exchange is packed.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,6 +64,8 @@ STRENGTHS = np.array([4.0**i for i in range(10)] + [1e12])
 NAT = 1 << 20
 #: Tokens whose likelihoods are computed at once, few enough for a processor's cache.
 CHUNK = 1 << 16
+#: Before packed numbers: how many planes and numbers there are.
+HEAD = struct.Struct("<BQ")
 
 
 @dataclass
@@ -191,19 +195,31 @@ def best_strengths(sums: np.ndarray) -> list[np.ndarray]:
     return [STRENGTHS[skip], STRENGTHS[best(both.sum(axis=0))]]
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers from -2**31 to 2**31 - 1 as four planes of bytes, as the upper ones compress."""
-    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits as planes of bytes, without the upper planes that are all zero, compressed.
+
+    Shuffles' light codec does not shorten numbers of few bits unless they repeat.
+    """
+    x = x.astype("<i8").view("<u8")
+    if not len(x):
+        return b""
+    width = max(1, -(-int(x.max()).bit_length() // 8))
+    raw = x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return HEAD.pack(width, len(x)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unplanes(raw: pa.Buffer | bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4")[:, 0].astype(np.int64)
+def unpacked(raw: pa.Buffer) -> np.ndarray:
+    if not raw.size:
+        return np.zeros(0, np.int64)
+    width, n = HEAD.unpack(raw.slice(0, HEAD.size))
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(raw.slice(HEAD.size), width * n, codec="zstd"), np.uint8).reshape(width, n).T
+    return out.view("<i8")[:, 0]
 
 
 def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's bucket, and the order of the words by bucket and hash."""
-    bucket = (mix64(hashes) % np.uint64(buckets)).astype(np.int64)
-    return bucket, np.lexsort((hashes, bucket))
+    """Each word's bucket, a range of hashes, and the order of the words by hash, so by bucket too."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), np.argsort(hashes)
 
 
 def spans_of(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
@@ -247,7 +263,7 @@ def count_words(docs: DataFrame, stage: Stage, buckets: int) -> DataFrame:
         pairs, inverse = np.unique(pair_keys(hashes, flat, first, second, buckets), return_inverse=True)
         times = np.bincount(inverse[np.tile(train, 2)], minlength=len(pairs))
         bucket, order = dealt(hashes, buckets)
-        hashes, endings, bucket = hashes[order], endings[order].astype("<u2"), bucket[order]
+        hashes, endings, bucket = hashes[order], endings[order], bucket[order]
         total, lacks = total[order], (total - skips)[order]
         spans, pair_spans = spans_of(bucket), spans_of(pairs >> 32)
         every = sorted(spans | pair_spans)
@@ -259,12 +275,12 @@ def count_words(docs: DataFrame, stage: Stage, buckets: int) -> DataFrame:
             {
                 "bucket": pa.array(every, pa.int32()),
                 "b": pa.array([b] * len(every), pa.int32()),
-                "hashes": pa.array([hashes[x:y].tobytes() for x, y in cut], pa.binary()),
-                "endings": pa.array([endings[x:y].tobytes() for x, y in cut], pa.binary()),
-                "counts": pa.array([total[x:y].astype("<u4").tobytes() for x, y in cut], pa.binary()),
-                "lacks": pa.array([planes(lacks[x:y]) for x, y in cut], pa.binary()),
-                "pairs": pa.array([planes(np.diff(slot[x:y], prepend=0)) for x, y in pair_cut], pa.binary()),
-                "times": pa.array([planes(times[x:y]) for x, y in pair_cut], pa.binary()),
+                "hashes": pa.array([packed(np.diff(hashes[x:y], prepend=np.uint64(0))) for x, y in cut], pa.binary()),
+                "endings": pa.array([packed(endings[x:y]) for x, y in cut], pa.binary()),
+                "counts": pa.array([packed(total[x:y]) for x, y in cut], pa.binary()),
+                "lacks": pa.array([packed(lacks[x:y]) for x, y in cut], pa.binary()),
+                "pairs": pa.array([packed(np.diff(slot[x:y], prepend=0)) for x, y in pair_cut], pa.binary()),
+                "times": pa.array([packed(times[x:y]) for x, y in pair_cut], pa.binary()),
             }
         )
 
@@ -272,10 +288,11 @@ def count_words(docs: DataFrame, stage: Stage, buckets: int) -> DataFrame:
     best = pa.list_(pa.struct([("hash", pa.int64()), ("code", pa.int32()), ("total", pa.int64())]))
 
     def reduce(table: pa.Table) -> pa.Table:
-        raw = {c: [x.as_buffer() for x in table.column(c)] for c in ("hashes", "endings", "counts")}
-        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in raw["hashes"]])
-        endings = np.concatenate([np.frombuffer(x, "<u2") for x in raw["endings"]]).astype(np.int64)
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in raw["counts"]]).astype(np.int64)
+        def every(name: str) -> list[np.ndarray]:
+            return [unpacked(x.as_buffer()) for x in table.column(name)]
+
+        parts = [np.cumsum(x.view(np.uint64)) for x in every("hashes")]
+        hashes, endings, counts = np.concatenate(parts), np.concatenate(every("endings")), np.concatenate(every("counts"))
         words, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         total = np.bincount(inverse, counts, len(words)).astype(np.int64)
         code = endings[first]
@@ -285,21 +302,21 @@ def count_words(docs: DataFrame, stage: Stage, buckets: int) -> DataFrame:
         used = np.flatnonzero(types)
         top = np.lexsort((words, -total))[: TOP + 1]
         top = top[total[top] > 0]
-        cuts = np.cumsum([0] + [len(x) // 8 for x in raw["hashes"]]).tolist()
+        cuts = np.cumsum([0] + [len(x) for x in parts]).tolist()
         back = total[inverse]
-        own = [unplanes(x.as_buffer()) for x in table.column("pairs")]
+        own = every("pairs")
         slots, at = np.unique(np.concatenate([np.cumsum(x) for x in own]), return_inverse=True)
-        times = np.bincount(at, np.concatenate([unplanes(x.as_buffer()) for x in table.column("times")]), len(slots)).astype(np.int64)[at]
+        times = np.bincount(at, np.concatenate(every("times")), len(slots)).astype(np.int64)[at]
         pair_cuts = np.cumsum([0] + [len(x) for x in own]).tolist()
-        lacks = np.bincount(inverse, np.concatenate([unplanes(x.as_buffer()) for x in table.column("lacks")]), len(words)).astype(np.int64)[inverse]
+        lacks = np.bincount(inverse, np.concatenate(every("lacks")), len(words)).astype(np.int64)[inverse]
         b = table.column("b").to_pylist() + [-1]
         return pa.table(
             {
                 "b": pa.array(b, pa.int32()),
-                "counts": pa.array([back[x:y].tobytes() for x, y in zip(cuts, cuts[1:])] + [b""], pa.binary()),
-                "lacks": pa.array([planes(lacks[x:y]) for x, y in zip(cuts, cuts[1:])] + [b""], pa.binary()),
+                "counts": pa.array([packed(back[x:y]) for x, y in zip(cuts, cuts[1:])] + [b""], pa.binary()),
+                "lacks": pa.array([packed(lacks[x:y]) for x, y in zip(cuts, cuts[1:])] + [b""], pa.binary()),
                 "bucket": pa.array([table.column("bucket")[0].as_py()] * len(b), pa.int32()),
-                "times": pa.array([planes(times[x:y]) for x, y in zip(pair_cuts, pair_cuts[1:])] + [b""], pa.binary()),
+                "times": pa.array([packed(times[x:y]) for x, y in zip(pair_cuts, pair_cuts[1:])] + [b""], pa.binary()),
                 "by_ending": pa.array([None] * (len(b) - 1) + [[{"code": c, "total": int(by_code[c]), "types": int(types[c])} for c in used.tolist()]], ending),
                 "top": pa.array(
                     [None] * (len(b) - 1) + [[{"hash": int(words[i].astype(np.int64)), "code": int(code[i]), "total": int(total[i])} for i in top.tolist()]], best
@@ -468,15 +485,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         flat, own = words.flat, words.hashes
         _, order = dealt(own, buckets)
         count, skips = np.empty((2, len(own)), np.int64)
-        count[order] = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in right.column("counts")])
-        skips[order] = count[order] - np.concatenate([unplanes(x.as_buffer()) for x in right.column("lacks")])
+        count[order] = np.concatenate([unpacked(x.as_buffer()) for x in right.column("counts")])
+        skips[order] = count[order] - np.concatenate([unpacked(x.as_buffer()) for x in right.column("lacks")])
         group = known.of(own, words.endings)
         base = np.log10(np.maximum(count - leave, 0) + 0.5)
         inside = np.where(group < TOP, 0.0, base - known.total[group])
         context, y = contexts_of(words, group)
         first, second = before(flat, words.starts)
         _, inverse = np.unique(pair_keys(own, flat, first, second, buckets), return_inverse=True)
-        times = np.concatenate([unplanes(x.as_buffer()) for x in right.column("times")])[inverse]
+        times = np.concatenate([unpacked(x.as_buffer()) for x in right.column("times")])[inverse]
         one, skip = np.split(times, 2)
         unigram = (base - np.log10(known.n + 0.5 * (known.v + 1)))[flat]
         return words, (count > 0)[flat], unigram, table[context, y] + inside[flat], one, count[first], skip, skips[second]

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROW_GROUP_BYTES = 32 << 20
+COLLECTIONS = 3
+#: The longest wait for the gateway's queue.
+GATEWAY_SECONDS = 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Collect the driver's garbage, as executors keep the shuffle files of frames that are gone until it is."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Collect the driver's garbage, as executors keep the shuffle files of frames that are gone until it is.
+
+    Python's gateway tells the JVM what is gone from a queue, up to a second later, and what one collection there
+    frees can hold the shuffles until the next: a single one, at once, mostly left them.
+    """
+    queue = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    for _ in range(COLLECTIONS):
+        gc.collect()
+        end = time.monotonic() + GATEWAY_SECONDS
+        while queue and time.monotonic() < end:
+            time.sleep(0.02)
+        time.sleep(0.2)  # the last one leaves the queue before it is told
+        spark.sparkContext._jvm.System.gc()
 
 
 class Stage:

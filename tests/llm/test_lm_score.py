@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -18,12 +19,15 @@ from lodestone.llm.lm_score import (
     STRENGTHS,
     best_strengths,
     corrected,
+    dealt,
     log_softmax,
     losses,
     op1_lm_score,
+    packed,
     score_documents,
     size_of,
     tokens_of,
+    unpacked,
 )
 from lodestone.llm.words import words_of
 
@@ -156,3 +160,35 @@ def test_steps_add_no_jobs(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"steps-{steps}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1] > 0
+
+
+def test_nothing_shuffled_before_scoring_stays_on_disk(spark, docs):
+    """Of the counts and the strengths' pass, the staged table is left when the lazy result is returned."""
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x.getName() for x in (files.apply(i) for i in range(files.size())) if x.getName().startswith("shuffle_")}
+
+    before = shuffled()
+    result = score_documents(docs.limit(300), held=held_out("doc_id", 5, 1), steps=1)
+    end = time.monotonic() + 4
+    while shuffled() - before and time.monotonic() < end:
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert result.count() == 300
+
+
+def test_packed_numbers():
+    """All 64 bits come back, and random numbers take about as many bits as they need."""
+    for x in ([], [0], [0, 0, 0], [-1, 5], [2**31, 2**32, 7], [2**63 - 1, -(2**63)], list(range(1000))):
+        assert unpacked(pa.py_buffer(packed(np.array(x, np.int64)))).tolist() == x
+    random = np.random.default_rng(1)
+    hashes = random.integers(0, 2**64, 100_000, np.uint64)
+    bucket, order = dealt(hashes, 200)
+    assert bucket.min() == 0 and bucket.max() == 199 and (np.diff(bucket[order]) >= 0).all()
+    own = np.sort(hashes[bucket == 7])
+    raw = packed(np.diff(own, prepend=np.uint64(0)))
+    assert np.cumsum(unpacked(pa.py_buffer(raw)).view(np.uint64)).tolist() == own.tolist()
+    assert len(raw) < 7 * len(own)
+    assert len(packed(np.diff(np.sort(random.integers(0, 2**28, 3000))))) < 2.7 * 3000
+    assert len(packed(random.geometric(0.9, 3000))) < 0.2 * 3000
